@@ -25,12 +25,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_line_items(spark: SparkSession, d: str) -> DataFrame:
     t = nested.normalize(table(spark, d, "bills").select("bill_id", "loaded_at", "patient", "summary_of_services"), "bill_id", "loaded_at")
-    return t["summary_of_services.line_items"].select("parent_key", "row_key", F.element_at("ordinals", 1).alias("item_no"), "service_name", "code_type", "code", "billed_amount")
+    return t["summary_of_services.line_items"].select("parent_key", "row_key", F.element_at("ordinals", 1).alias("item_no"), "service_name", "code_type", "code", F.col("billed_amount").cast("double").alias("billed_amount"))
 
 
 def p2_components(spark: SparkSession, d: str) -> DataFrame:
     t = nested.normalize(table(spark, d, "bills").select("bill_id", "loaded_at", "summary_of_services"), "bill_id", "loaded_at")
-    return t["summary_of_services.line_items.components"].select("parent_key", "row_key", F.element_at("ordinals", 1).alias("item_no"), F.element_at("ordinals", 2).alias("component_no"), "component_name", "code", "amount")
+    return t["summary_of_services.line_items.components"].select("parent_key", "row_key", F.element_at("ordinals", 1).alias("item_no"), F.element_at("ordinals", 2).alias("component_no"), "component_name", "code", F.col("amount").cast("double").alias("amount"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,9 +63,9 @@ SQL = {
           SELECT bill_id, child_no, unnest(x.components) AS y, unnest(range(1, len(x.components) + 1)) AS sub_no FROM (
             SELECT bill_id, unnest(summary_of_services.line_items) AS x, unnest(range(1, len(summary_of_services.line_items) + 1)) AS child_no FROM {_BILLS})) WHERE y IS NOT NULL""",
     ]),
-    "p2_line_items": f"""SELECT bill_id::VARCHAR AS parent_key, bill_id::VARCHAR || '/' || item_no AS row_key, item_no, x.service_name, x.code_type, x.code, x.billed_amount FROM (
+    "p2_line_items": f"""SELECT bill_id::VARCHAR AS parent_key, bill_id::VARCHAR || '/' || item_no AS row_key, item_no, x.service_name, x.code_type, x.code, x.billed_amount::DOUBLE AS billed_amount FROM (
         SELECT bill_id, unnest(summary_of_services.line_items) AS x, unnest(range(1, len(summary_of_services.line_items) + 1)) AS item_no FROM {_BILLS}) WHERE x IS NOT NULL""",
-    "p2_components": f"""SELECT bill_id::VARCHAR || '/' || item_no AS parent_key, bill_id::VARCHAR || '/' || item_no || '/' || component_no AS row_key, item_no, component_no, y.component_name, y.code, y.amount FROM (
+    "p2_components": f"""SELECT bill_id::VARCHAR || '/' || item_no AS parent_key, bill_id::VARCHAR || '/' || item_no || '/' || component_no AS row_key, item_no, component_no, y.component_name, y.code, y.amount::DOUBLE AS amount FROM (
         SELECT bill_id, item_no, unnest(x.components) AS y, unnest(range(1, len(x.components) + 1)) AS component_no FROM (
           SELECT bill_id, unnest(summary_of_services.line_items) AS x, unnest(range(1, len(summary_of_services.line_items) + 1)) AS item_no FROM {_BILLS})) WHERE y IS NOT NULL""",
 }
