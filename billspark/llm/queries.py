@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from billspark.llm import lookalike, tokenizer
+from billspark.llm import leakage, lookalike, tokenizer
 from billspark.session import spread, table
 
 
@@ -12,9 +13,22 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "heldout_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked test items, with the number of documents that leak each."""
+    return p7_leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words_kept").alias("most_words"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"p6_ids": p6_ids, "p8_found": p8_found}
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
 SQL: dict[str, str] = {}
