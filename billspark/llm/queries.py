@@ -5,10 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billspark.llm import leakage, lookalike, tokenizer
+from billspark.llm import leakage, lookalike, pii, tokenizer
 from billspark.session import spread, table
 
 
+#: Bound of the facility directory that the driver reads for p5.
+MAX_FACILITIES = 100_000
+
+
+def pii_context(spark: SparkSession, d: str) -> tuple[pii.Facilities, DataFrame]:
+    """Facilities and the name lexicon of the bills. Each facility is one row, whatever the number of its bills."""
+    bills = table(spark, d, "bills")
+    rows = bills.select("facility.name", "facility.address", "patient_services.phone", "patient_services.online", "patient_services.mail").distinct().limit(MAX_FACILITIES + 1).collect()
+    if len(rows) > MAX_FACILITIES:
+        raise ValueError(f"more than {MAX_FACILITIES} facilities")
+    names = bills.select(F.explode(F.array("patient.patient_name", "guarantor.guarantor_name")).alias("name")).distinct()
+    return pii.Facilities.of(rows), pii.lexicon_of(names, "name")
+
+
+PII_FIELDS = ("patient_input", "agent_initial_response")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    facilities, lexicon = pii_context(spark, d)
+    reviews = spread(table(spark, d, "reviews").select("review_id", *PII_FIELDS))
+    places = pii.find_places(reviews, PII_FIELDS, facilities, lexicon, carry=["review_id"])
+    kinds = F.concat(*[F.transform(F.array_distinct(F.transform(f"{c}_places", lambda x: x["kind"])), lambda k, c=c: F.struct(F.lit(c).alias("field_name"), k.alias("pii_kind"))) for c in PII_FIELDS])
+    return places.select("review_id", F.explode(kinds).alias("x")).select("review_id", "x.field_name", "x.pii_kind").distinct()
+
+
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with typed placeholders, one row per review."""
+    facilities, lexicon = pii_context(spark, d)
+    reviews = spread(table(spark, d, "reviews").select("review_id", *PII_FIELDS))
+    out = pii.find_places(reviews, PII_FIELDS, facilities, lexicon, carry=["review_id"], masked=True)
+    return out.groupBy("review_id").agg(*[F.max(f"{c}_masked").alias(c) for c in PII_FIELDS])
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")))
 
@@ -30,5 +63,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
+QUERIES = {"p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
 SQL: dict[str, str] = {}
