@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billspark.llm import leakage, lookalike, pii, tokenizer
+from billspark.llm import leakage, lookalike, pii, tokenizer, truncation
 from billspark.session import spread, table
 
 
+def _stored_texts(reviews: DataFrame) -> DataFrame:
+    """The two stored answers, each with the field that may hold the same text whole."""
+    follow = F.col("agent_followup_response")
+    taken = F.when(truncation.is_placeholder(F.coalesce(follow, F.lit(""))), F.col("agent_initial_response")).otherwise(follow)
+    prompt = F.concat_ws(" ", "agent_initial_prompt", "agent_followup_prompt")
+    entry = lambda c, sibling: F.struct(F.lit(c).alias("field"), F.col(c).alias("text"), sibling.alias("sibling"), prompt.alias("prompt"))
+    texts = F.inline(F.array(entry("agent_final_response", taken), entry("agent_followup_response", F.col("agent_final_response"))))
+    return reviews.select(F.col("review_id").alias("id"), F.col("run_file").alias("source"), texts)
+
+
+def p1_texts(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_posterior(_stored_texts(spread(table(spark, d, "reviews"))))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_texts(spark, d).where("p_cut > 0.5").select(F.col("id").alias("review_id"), F.col("field").alias("field_name")).distinct()
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts, by field: texts, cut ones and their share, each review counted once."""
+    t = p1_texts(spark, d).where("len > 0").groupBy("id", "source", "field").agg(F.max("p_cut").alias("p"))
+    return t.groupBy("source", "field").agg(F.count("*").alias("texts"), F.count_if(F.col("p") > 0.5).alias("cut"), F.round(F.avg((F.col("p") > 0.5).cast("int")), 4).alias("cut_rate"))
+
+
 #: Bound of the facility directory that the driver reads for p5.
 MAX_FACILITIES = 100_000
 
@@ -63,5 +87,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
 SQL: dict[str, str] = {}
