@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billspark.llm import leakage, lookalike, pii, tokenizer, truncation
+from billspark.llm import leakage, lookalike, pairs, pii, tokenizer, truncation
 from billspark.session import spread, table
 
 
@@ -33,6 +33,20 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("source", "field").agg(F.count("*").alias("texts"), F.count_if(F.col("p") > 0.5).alias("cut"), F.round(F.avg((F.col("p") > 0.5).cast("int")), 4).alias("cut_rate"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    reviews = spread(table(spark, d, "reviews"))
+    final, follow = F.col("agent_final_response"), F.col("agent_followup_response")
+    no_follow = truncation.is_placeholder(F.coalesce(follow, F.lit("")))
+    entry = lambda name, text, sibling, prompt: F.struct(F.lit(name).alias("field"), text.alias("text"), sibling.alias("sibling"), F.col(prompt).alias("prompt"))
+    both = F.inline(F.array(entry("initial", F.col("agent_initial_response"), F.when(no_follow, final), "agent_initial_prompt"), entry("followup", follow, final, "agent_followup_prompt")))
+    found = pairs.broken_pairs(reviews.select(F.col("review_id").alias("id"), F.col("run_file").alias("source"), both))
+    return found.withColumnRenamed("id", "review_id")
+
+
+def p4_defects(spark: SparkSession, d: str) -> DataFrame:
+    return p4_found(spark, d).groupBy("pair_name", "defect").agg(F.count("*").alias("pairs"))
+
+
 #: Bound of the facility directory that the driver reads for p5.
 MAX_FACILITIES = 100_000
 
@@ -87,5 +101,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_defects": p4_defects, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
 SQL: dict[str, str] = {}

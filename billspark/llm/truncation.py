@@ -14,128 +14,201 @@ delivered twice counts once per id.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from billspark.session import materialize
 
 # Texts that stand for no text.
 PLACEHOLDERS = ["", "-", "--", "---", "–", "—", "...", "…", ".", "n/a", "na", "n.a.", "none", "null", "nil", "nan", "tbd", "[no response]", "[empty]", "(no response)", "(empty)", "no response", "no answer", "[no answer]", "?", "#n/a", "empty", "blank", "pending", "undefined"]
-_INVISIBLE = r"[​-‏⁠﻿­]"
-_TERMINAL = r"[.!?。！？][\"'”’»)\]*_]*$"
+_PLACEHOLDERS = frozenset(PLACEHOLDERS)
+_INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
+_CLOSERS = "\"'”’»)]*_"
+_STOPS = ".!?。！？"
 #: Full stops that end no sentence.
-_ABBREVIATION = r"(?:^|[\s(])(?:no|nos|nr|st|dr|mr|mrs|ms|vs|e\.g|i\.e|p\.o|apt|ref|tel|approx|dept|est|núm|sr|sra)\.$"
-_MARK = r"\s*(?:…|\.{2,}|\[(?:…|\.{2,3}|truncated|cut|more)\]|\((?:…|\.{3}|truncated|more)\))\s*$"
+_ABBREVIATION = re.compile(r"(?:^|[\s(])(?:no|nos|nr|st|dr|mr|mrs|ms|vs|e\.g|i\.e|p\.o|apt|ref|tel|approx|dept|est|núm|sr|sra)\.$", re.I)
+_MARK = re.compile(r"\s*(?:…|\.{2,}|\[(?:…|\.{2,3}|truncated|cut|more)\]|\((?:…|\.{3}|truncated|more)\))\s*$", re.I)
+_SEAM = re.compile(r"(?<=[.!?])[ \t]+(?=[^\W_a-zß-öø-ÿ]|[¿¡\"'*>-])|\s*\n\s*")
+_ENTRY = re.compile(r"(?:[-*•>]|\d+[.)])\s")
+_NUMBER = re.compile(r"[\d,.]*\d")
+_ZERO = str.maketrans(dict.fromkeys("123456789", "0"))
+_NOT_PLAIN = re.compile(r"[\W_]+")
+
+CUT, WHOLE = 9.0, -9.0
 
 
 def clean(c: Column) -> Column:
     """Without invisible characters and blanks at the ends; null stays null."""
-    return F.regexp_replace(F.regexp_replace(c, _INVISIBLE, ""), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(c, f"[{_INVISIBLE}]", ""), r"(?U)^\s+|\s+$", "")
 
 
 def is_placeholder(c: Column) -> Column:
     return F.lower(clean(c)).isin(PLACEHOLDERS)
 
 
-def units(c: Column) -> Column:
-    """Sentences and lines of a text, in order."""
-    return F.filter(F.split(F.regexp_replace(c, r"([.!?])[ \t]+(?=[\p{Lu}\d¿¡\"'*>-])", "$1\n"), r"\s*\n\s*"), lambda x: x != "")
-
+_HIDE = str.maketrans(dict.fromkeys(_INVISIBLE, ""))
 
-def shape(c: Column) -> Column:
-    """A unit with each digit as 0."""
-    return F.regexp_replace(c, r"\d", "0")
 
+def _cleaned(text: str | None) -> str:
+    if not text:
+        return ""
+    return (text if text.isascii() else text.translate(_HIDE)).strip()
 
-def _stem(c: Column) -> Column:
-    """The words before the last one, with runs of digits as one 0."""
-    return F.regexp_replace(F.regexp_replace(c, r"\S*$", ""), r"[\d,.]*\d", "0")
 
-
-def continuations(texts: DataFrame, endings: DataFrame) -> DataFrame:
-    """(shape, ends, goes_on): how often a last unit's words end a unit and how often they go on, in all texts.
-
-    ``texts`` has a column ``u``, the array of units of each distinct text; ``endings`` the shapes asked for. Units
-    are counted by shape first, so that what is shuffled are distinct shapes. Only words after a stem that is asked
-    for are compared.
-    """
-    # counted by shape, exploded to the words after each stem, kept where the stem is asked for
-    counted = texts.select(F.explode("u").alias("x")).select(shape(F.col("x")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
-    asked = endings.select("shape").distinct().withColumn("stem", F.xxhash64(_stem(F.col("shape")))).withColumn("word", F.regexp_extract("shape", r"(\S*)$", 1))
-    words = counted.withColumn("w", F.split("s", r"\s+")).select("n", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("k"))
-    nodes = words.select(
-        "n",
-        F.element_at("w", F.col("k")).alias("next"),
-        (F.col("k") < F.size("w")).alias("more"),
-        F.xxhash64(F.regexp_replace(F.concat(F.array_join(F.slice("w", 1, F.col("k") - 1), " "), F.when(F.col("k") > 1, " ").otherwise("")), r"[\d,.]*\d", "0")).alias("stem"),
-    )
-    nodes = nodes.join(asked.select("stem").distinct(), "stem", "left_semi").groupBy("stem", "next").agg(F.sum(F.when(F.col("more"), F.col("n")).otherwise(0)).alias("on"), F.sum(F.when(F.col("more"), 0).otherwise(F.col("n"))).alias("end"))
-    # a word that goes on may end its unit elsewhere with a full stop
-    bare = F.regexp_replace("next", r"[.!?…]+$", "")
-    met = asked.join(nodes, "stem").where(F.col("next").startswith(F.col("word")))
-    same = bare == F.col("word")
-    return met.groupBy("shape").agg(
-        F.coalesce(F.sum(F.when(same, F.col("end"))), F.lit(0)).alias("ends"),
-        F.coalesce(F.sum(F.when(same, F.col("on")).otherwise(F.col("on") + F.col("end"))), F.lit(0)).alias("goes_on"),
-    )
+def _stops(t: str) -> bool:
+    """Whether a text ends with the end of a sentence."""
+    core = t.rstrip(_CLOSERS)
+    return core[-1:] in _STOPS and core != "" and not (core[-1] == "." and _ABBREVIATION.search(core[-12:]))
 
 
-CUT, WHOLE, UNSURE = 9.0, -9.0, 0.0
+def _plain(t: str) -> str:
+    return _NOT_PLAIN.sub("", t.lower())
 
 
-def ending_evidence(rows: DataFrame) -> DataFrame:
-    """Adds ``evidence``, the log odds of a cut by the text's end alone, to rows of (id, source, field, text, sibling, prompt).
+def ending(text: str | None, sibling: str | None, prompt: str | None) -> tuple[float | None, str | None, bool]:
+    """(evidence, open unit, whether a sentence stands before it on its line) of one text's end.
 
-    ``sibling`` is another field that may hold the same text whole; ``prompt`` the question. Rows whose end is told by
-    its punctuation take part in no shuffle by ending.
+    The evidence is the log odds of a cut where punctuation, a sibling or the prompt tell; otherwise the open last
+    unit is given, without a mark of omission.
+    """
+    t = _cleaned(text)
+    if not t or t.lower() in _PLACEHOLDERS:
+        return WHOLE, None, False
+    bare = _MARK.sub("", t) if t[-1] in "….])" else t
+    marked, stops = bare != t, _stops(bare)
+    if sibling and bare and len(sibling) > len(bare):
+        s = _cleaned(sibling)
+        if len(s) > len(bare) and (not marked or s != t) and s.startswith(bare):
+            following = s[len(bare)]
+            return (WHOLE if following == "\n" or stops and following.isspace() else CUT), None, False
+    if stops:
+        return WHOLE, None, False
+    units = _SEAM.split(bare[bare.rfind("\n") + 1 :])
+    last = units[-1]
+    if prompt:
+        p, x = _plain(prompt), _plain(last)
+        if len(x) >= 8 and x in p and len(_plain(bare)) <= 2.2 * len(p) + 30:
+            return WHOLE, None, False
+    if bare[-1:] in ",;(–—":
+        return CUT, None, False
+    return None, last, len(units) > 1
+
+
+def _stem(words: list[str], k: int) -> int:
+    """Signed hash of the first k words of a shape, runs of digits as one 0."""
+    h = xxhash.xxh64_intdigest(_NUMBER.sub("0", " ".join(words[:k])))
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def judge_endings(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, source, field, len, said, shape, stem, word, prose, carried) of each text, from one pass without a shuffle."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said, shapes, stems, lasts, prose = [], [], [], [], []
+            for t, s, p in zip(b["text"], b["sibling"], b["prompt"]):
+                e, unit, after = ending(t, s, p)
+                words = unit.translate(_ZERO).split() if unit else []
+                said.append(e if words or e is not None else WHOLE)
+                shapes.append(" ".join(words) if words else None)
+                stems.append(_stem(words, len(words) - 1) if words else None)
+                lasts.append(words[-1] if words else None)
+                prose.append(bool(words) and after and len(words) >= 3 and not _ENTRY.match(unit))
+            out = b[["id", "source", "field", "len", *carry]].copy()
+            out["said"], out["shape"], out["stem"], out["word"], out["prose"] = pd.array(said, "Float64"), shapes, pd.array(stems, "Int64"), lasts, prose
+            yield out
+
+    base = rows.select("id", "source", "field", F.length("text").alias("len"), *carry, "text", "sibling", "prompt")
+    schema = T.StructType([f for f in base.schema.fields if f.name not in ("text", "sibling", "prompt")]).add("said", T.DoubleType()).add("shape", T.StringType()).add("stem", T.LongType()).add("word", T.StringType()).add("prose", T.BooleanType())
+    return base.mapInPandas(run, schema)
+
+
+def continuations(rows: DataFrame, stems: DataFrame, broadcast_stems: int = 1_000_000) -> DataFrame:
+    """(stem, next, goes_on, ends): the words that follow each stem asked for in all texts.
+
+    Units are counted by shape within each batch, then each distinct shape's words are looked up among the stems;
+    what is shuffled are counts of words after stems. Up to ``broadcast_stems`` stems (8 bytes each) are broadcast,
+    beyond that all words are emitted and joined to the stems.
     """
-    t = rows.withColumn("_c", clean(F.col("text")))
-    t = t.withColumn("_bare", F.regexp_replace("_c", _MARK, "")).withColumn("_marked", F.col("_bare") != F.col("_c"))
-    empty = F.col("_c").isNull() | F.lower("_c").isin(PLACEHOLDERS)
-    sib = clean(F.col("sibling"))
-    # a sibling with the same mark in the same place is no longer than this text
-    longer = (F.length(sib) > F.length("_bare")) & (~F.col("_marked") | (sib != F.col("_c")))
-    known = longer & (F.length("_bare") > 0) & F.startswith(sib, F.col("_bare"))
-    after = F.expr("substring(_sib, length(_bare) + 1, 2)")
-    t = t.withColumn("_sib", F.when(known, sib)).withColumn("_after", F.when(known, after))
-    terminal = F.col("_bare").rlike(_TERMINAL) & ~F.lower("_bare").rlike(_ABBREVIATION)
-    at_seam = F.col("_after").rlike(r"^\n") | (F.col("_after").rlike(r"^\s") & terminal)
-    t = t.withColumn("_u", F.when(~empty, units(F.col("_c")))).withColumn("_last", F.regexp_replace(F.try_element_at("_u", F.lit(-1)), _MARK, ""))
-    # a copy of the prompt may have lost its full stop; it is not cut
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-    p, last = plain(F.coalesce(F.col("prompt"), F.lit(""))), plain(F.col("_last"))
-    copied = F.col("prompt").isNotNull() & (F.length(last) >= 8) & F.contains(p, last) & (F.endswith(p, last) | ~F.contains(plain(F.regexp_replace("_bare", r"\s+", " ")), F.concat(p, F.lit("0"))) & (F.length(plain(F.col("_bare"))) >= 0.6 * F.length(p)))
-    said = (
-        F.when(empty, WHOLE)
-        .when(F.col("_after").isNotNull() & at_seam, WHOLE)
-        .when(F.col("_after").isNotNull(), CUT)
-        .when(copied & ~F.col("_marked"), WHOLE)
-        .when(terminal & ~F.col("_marked"), WHOLE)
-        .when(F.col("_marked") & F.col("_bare").rlike(_TERMINAL), WHOLE)
-        .when(F.col("_c").rlike(r"[,;(–—]$"), CUT)
+    spark = rows.sparkSession
+    head = stems.limit(broadcast_stems + 1).toPandas()["stem"]
+    shared = spark.sparkContext.broadcast(head.to_numpy("int64") if len(head) <= broadcast_stems else None)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = None if shared.value is None else set(shared.value.tolist())
+        for b in batches:
+            closed: Counter[str] = Counter()
+            open_: Counter[str] = Counter()
+            done = None
+            for i, t in zip(b["id"], b["text"]):
+                t = _cleaned(t)
+                if not t or t == done:
+                    continue
+                done = t
+                units = _SEAM.split(t.translate(_ZERO))
+                closed.update(units[:-1])
+                (closed if _stops(t) and t[-3:] != "..." else open_)[units[-1]] += 1
+            on: Counter[tuple[int, str]] = Counter()
+            end: Counter[tuple[int, str]] = Counter()
+            for counts, whole in ((closed, True), (open_, False)):
+                for unit, n in counts.items():
+                    words = unit.split()
+                    # the hash of a growing prefix, its digits collapsed
+                    prefix = ""
+                    for k, w in enumerate(words):
+                        h = xxhash.xxh64_intdigest(prefix)
+                        h = h - (1 << 64) if h >= 1 << 63 else h
+                        if asked is None or h in asked:
+                            if k + 1 < len(words):
+                                on[h, w] += n
+                            elif whole:
+                                end[h, w.rstrip(".!?…")] += n
+                        prefix = f"{prefix} {_NUMBER.sub('0', w) if '0' in w else w}" if prefix else (_NUMBER.sub("0", w) if "0" in w else w)
+            keys = on.keys() | end.keys()
+            yield pd.DataFrame({"stem": [k[0] for k in keys], "next": [k[1] for k in keys], "goes_on": [on[k] for k in keys], "ends": [end[k] for k in keys]})
+
+    nodes = rows.where("text is not null").select("id", "text").mapInPandas(run, "stem bigint, next string, goes_on bigint, ends bigint")
+    nodes = nodes.groupBy("stem", "next").agg(F.sum("goes_on").alias("goes_on"), F.sum("ends").alias("ends"))
+    return nodes if shared.value is not None else nodes.join(stems, "stem", "left_semi")
+
+
+def resolve_endings(judged: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, source, field, len, evidence, carried): ends that punctuation left open are settled by all texts.
+
+    Of each open shape it is counted how often its words end a unit, beyond this text's own end, and how often they
+    go on, be it with more words or with more letters of the last word.
+    """
+    carried = [c for c in judged.columns if c not in ("said", "shape", "stem", "word", "prose")]
+    open_ = judged.where("shape is not null")
+    asked = open_.groupBy("stem", "word", "shape").agg(F.count_distinct("id").alias("own"))
+    nodes = continuations(rows, asked.select("stem").distinct())
+    same = F.col("next") == F.col("word")
+    seen = asked.join(nodes, "stem").where(F.startswith("next", "word")).groupBy("shape").agg(
+        F.max("own").alias("own"),
+        F.coalesce(F.sum(F.when(same, F.col("ends"))), F.lit(0)).alias("ends"),
+        F.coalesce(F.sum(F.when(same, F.col("goes_on")).otherwise(F.col("goes_on") + F.col("ends"))), F.lit(0)).alias("goes_on"),
     )
-    return t.withColumn("_said", said).drop("_sib", "_after", "_bare")
-
-
-def resolve_endings(t: DataFrame) -> DataFrame:
-    """Settles the ends that punctuation left open, by how their words go on in all texts."""
-    texts = t.where("_u is not null").select("id", F.xxhash64("_c").alias("_h"), "_u").dropDuplicates(["id", "_h"]).select(F.col("_u").alias("u"))
-    open_ = t.where("_said is null").withColumn("shape", shape(F.col("_last")))
-    seen = continuations(texts, open_)
-    # ends beyond this text's own one, against a two-hundredth of the times that the words go on
-    more_ends = F.col("ends") - 1
+    # open ends of the same words in other texts count as well
+    known = asked.groupBy("shape").agg(F.max("own").alias("own")).join(seen.drop("own"), "shape", "left")
+    longer = asked.alias("a").join(asked.alias("b"), (F.col("a.stem") == F.col("b.stem")) & (F.col("a.word") != F.col("b.word")) & F.startswith(F.col("b.word"), F.col("a.word"))).groupBy(F.col("a.shape").alias("shape")).agg(F.sum("b.own").alias("longer"))
+    known = known.join(longer, "shape", "left").select("shape", (F.coalesce("ends", F.lit(0)) + F.col("own") - 1).alias("ends"), (F.coalesce("goes_on", F.lit(0)) + F.coalesce("longer", F.lit(0))).alias("goes_on"))
+    more = F.col("ends")
     verdict = (
-        F.when(F.col("ends").isNull(), UNSURE)
-        .when(F.col("goes_on") == 0, F.when(more_ends >= 1, WHOLE).otherwise(UNSURE))
-        .when((more_ends >= 1) & (more_ends >= 0.004 * F.col("goes_on")), WHOLE)
+        F.when((F.col("goes_on") == 0) & (more >= 1), WHOLE)
+        .when(F.col("goes_on") == 0, F.when(F.col("prose"), CUT / 2).otherwise(0.0))
+        # about a cut in some hundred texts falls on any one place; a whole unit ends there far more often
+        .when((more >= 1) & (more >= 0.004 * F.col("goes_on")), WHOLE)
         .otherwise(CUT)
     )
-    # an end nobody else has: prose after a full sentence stops within a sentence, a lone line tells nothing
-    prose = (F.size("_u") > 1) & ~F.element_at("_u", -1).rlike(r"^(?:[-*•>]|\d+[.)])\s") & (F.size(F.split("_last", r"\s+")) >= 3) & ~F.element_at(F.split("_c", r"\n"), -1).eqNullSafe(F.col("_last"))
-    settled = open_.join(seen, "shape", "left").withColumn("_v", verdict)
-    settled = settled.withColumn("_said", F.when((F.col("_v") == UNSURE) & prose, CUT / 2).otherwise(F.col("_v"))).select(*t.columns)
-    return t.where("_said is not null").unionByName(settled).withColumnRenamed("_said", "evidence").drop("_u", "_last")
+    settled = open_.join(known, "shape").select(*carried, verdict.alias("evidence"))
+    return judged.where("shape is null").select(*carried, F.col("said").alias("evidence")).unionByName(settled)
 
 
 FIT = "source string, field string, lim int, at_limit bigint, mu double, sigma double, posterior double"
@@ -200,11 +273,13 @@ def truncation_posterior(rows: DataFrame, carry: Sequence[str] = ()) -> DataFram
 
     ``rows`` has id, source, field, text, sibling and prompt. ``posterior`` is that of the source's limit at this
     length (null off the limits); its log odds against an even chance, or the prior odds of a cut off the limits,
-    are added to the evidence.
+    are added to the evidence. Two passes over the texts in Python, whose only shuffles are of counts; the first
+    one's table, which has no texts, is written to the shared folder.
     """
     named = rows.withColumn("source", F.coalesce("source", F.lit("")))
-    judged = resolve_endings(ending_evidence(named)).select("id", "source", "field", F.length("text").alias("len"), "evidence", *carry)
-    limits = source_limits(judged).select("source", "field", F.col("lim").alias("len"), "posterior")
-    both = judged.join(limits, ["source", "field", "len"], "left")
+    judged = materialize(judge_endings(named, carry), "endings")
+    resolved = materialize(resolve_endings(judged, named), "evidence")
+    limits = source_limits(resolved).select("source", "field", F.col("lim").alias("len"), "posterior")
+    both = resolved.join(limits, ["source", "field", "len"], "left")
     at = F.coalesce(F.ln(F.greatest(F.col("posterior"), F.lit(1e-3)) / (1 - F.col("posterior"))), F.lit(-2.0))
     return both.withColumn("p_cut", 1 / (1 + F.exp(-(F.col("evidence") + at))))
