@@ -13,9 +13,8 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +48,11 @@ LANGUAGES = {
     "it": "il lo gli di che è una per con non sono della del suo sua ha dei delle anche questo questa prima nel alla può come più",
     "nl": "de het een en van is niet u uw voor met op dat te zijn aan er maar om ook bij nog wordt kan dit heeft",
 }
-_LANG = {k: set(v.split()) for k, v in LANGUAGES.items()}
+_INDEX: dict[str, list[str]] = defaultdict(list)
+for _lang, _words in LANGUAGES.items():
+    for _w in set(_words.split()):
+        _INDEX[_w].append(_lang)
+_INDEX = dict(_INDEX)
 _TOKENS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 _VIETNAMESE = re.compile("[ạ-ỹđĐơƠưƯ]")
@@ -71,6 +74,8 @@ def lcs(a: Sequence, b: Sequence) -> int:
 
 def is_copy(prompt: str, answer: str, extra: int = 5, kept: float = 0.6) -> bool:
     """Whether the answer gives back the prompt, perhaps framed, changed or repeated, and nothing else."""
+    if len(answer) > 3 * len(prompt) + 80:
+        return False
     p, r = words(prompt), words(answer)
     if not p or not r or len(r) > 2.6 * len(p) + extra or len(r) < kept * len(p):
         return False
@@ -138,18 +143,22 @@ def is_refusal(answer: str) -> bool:
 
 
 def language_counts(text: str) -> dict[str, int]:
-    letters = sum(c.isalpha() for c in text)
-    if not letters:
-        return {}
-    for lang, script in _SCRIPTS:
-        n = len(script.findall(text))
-        if n > 0.4 * letters:
-            return {lang: max(3, n // 4)}
-    low = _TOKENS.findall(text.lower().replace("’", "'"))
-    counts = {k: sum(w in v for w in low) for k, v in _LANG.items()}
-    n = len(_VIETNAMESE.findall(text))
-    if n > 0.08 * letters:
-        counts["vi"] = max(counts.values()) + n
+    """Function words of each language in a text, for other scripts a count of their letters."""
+    counts: dict[str, int] = {}
+    plain = text.isascii()
+    if not plain:
+        letters = sum(map(str.isalpha, text))
+        if not letters:
+            return {}
+        for lang, script in _SCRIPTS:
+            if script.search(text) and (n := len(script.findall(text))) > 0.4 * letters:
+                return {lang: max(3, n // 4)}
+    get = _INDEX.get
+    for w in _TOKENS.findall(text.lower() if plain else text.lower().replace("’", "'")):
+        for lang in get(w, ()):
+            counts[lang] = counts.get(lang, 0) + 1
+    if not plain and (n := len(_VIETNAMESE.findall(text))) > 0.08 * letters:
+        counts["vi"] = max([0, *counts.values()]) + n
     return counts
 
 
@@ -182,8 +191,12 @@ def is_foreign(prompt: str, answer: str) -> bool:
     return counts.get(asked, 0) <= 0.6 * counts[lang] if counts[lang] >= 2 else counts.get(asked, 0) == 0 and len(_TOKENS.findall(answer)) >= 5
 
 
-def defect(prompt: str, answer: str) -> str | None:
-    """copy, refusal, other_language or None of a pair whose answer is not empty."""
+def defect(prompt: str | None, answer: str | None) -> str | None:
+    """empty, copy, refusal, other_language or None of a pair; no_pair where there is no prompt."""
+    if not truncation._cleaned(prompt):
+        return "no_pair"
+    if truncation.no_text(answer):
+        return "empty"
     if is_copy(prompt, answer):
         return "copy"
     if is_refusal(answer):
@@ -194,17 +207,10 @@ def defect(prompt: str, answer: str) -> str | None:
 def broken_pairs(pairs: DataFrame) -> DataFrame:
     """(id, pair_name, defect) of each defective pair.
 
-    ``pairs`` has id, source, field (the pair's name), text, sibling and prompt. One pass in Python over pairs tells
-    copies, refusals and languages without a shuffle; the truncation operator then goes over all of them.
+    ``pairs`` has id, source, field (the pair's name), text, sibling and prompt. Copies, refusals and languages are
+    told in the truncation operator's first pass over the texts, without a shuffle of their own.
     """
-    there = pairs.where(truncation.clean(F.col("prompt")) != "").withColumn("_empty", F.col("text").isNull() | truncation.is_placeholder(F.coalesce("text", F.lit(""))))
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.drop(columns="_empty").assign(defect=["empty" if e else defect(p, t) for e, p, t in zip(b["_empty"], b["prompt"], b["text"])])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in there.schema.fields if f.name != "_empty") + ", defect string"
-    told = there.mapInPandas(run, schema)
-    cut = truncation.truncation_posterior(told, ["defect"])
-    found = cut.select("id", F.col("field").alias("pair_name"), F.coalesce("defect", F.when(F.col("p_cut") > 0.5, "truncated")).alias("defect"))
+    there = pairs.where(F.trim("prompt") != "")
+    cut = truncation.truncation_posterior(there, label=defect).where("label is null or label != 'no_pair'")
+    found = cut.select("id", F.col("field").alias("pair_name"), F.coalesce("label", F.when(F.col("p_cut") > 0.5, "truncated")).alias("defect"))
     return found.where("defect is not null").distinct()

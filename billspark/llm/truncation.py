@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 import xxhash
@@ -50,7 +50,8 @@ def clean(c: Column) -> Column:
 
 
 def is_placeholder(c: Column) -> Column:
-    return F.lower(clean(c)).isin(PLACEHOLDERS)
+    """Blank, or one of ``PLACEHOLDERS``; texts of over 64 characters are not looked at."""
+    return F.when(F.length(c) > 64, False).otherwise(F.lower(clean(c)).isin(PLACEHOLDERS))
 
 
 _HIDE = str.maketrans(dict.fromkeys(_INVISIBLE, ""))
@@ -107,8 +108,16 @@ def _stem(words: list[str], k: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def judge_endings(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """(id, source, field, len, said, shape, stem, word, prose, carried) of each text, from one pass without a shuffle."""
+def no_text(text: str | None) -> bool:
+    """Whether a text is null, blank or a placeholder."""
+    return not text or len(text) <= 64 and _cleaned(text).lower() in _PLACEHOLDERS
+
+
+def judge_endings(rows: DataFrame, carry: Sequence[str] = (), label: Callable[[str | None, str | None], str | None] | None = None) -> DataFrame:
+    """(id, source, field, len, said, shape, stem, word, prose, carried) of each text, from one pass without a shuffle.
+
+    ``label`` may judge prompt and text in the same pass; its result is the column ``label``.
+    """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -122,11 +131,13 @@ def judge_endings(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
                 lasts.append(words[-1] if words else None)
                 prose.append(bool(words) and after and len(words) >= 3 and not _ENTRY.match(unit))
             out = b[["id", "source", "field", "len", *carry]].copy()
+            if label:
+                out["label"] = [label(p, t) for p, t in zip(b["prompt"], b["text"])]
             out["said"], out["shape"], out["stem"], out["word"], out["prose"] = pd.array(said, "Float64"), shapes, pd.array(stems, "Int64"), lasts, prose
             yield out
 
     base = rows.select("id", "source", "field", F.length("text").alias("len"), *carry, "text", "sibling", "prompt")
-    schema = T.StructType([f for f in base.schema.fields if f.name not in ("text", "sibling", "prompt")]).add("said", T.DoubleType()).add("shape", T.StringType()).add("stem", T.LongType()).add("word", T.StringType()).add("prose", T.BooleanType())
+    schema = T.StructType([f for f in base.schema.fields if f.name not in ("text", "sibling", "prompt")] + ([T.StructField("label", T.StringType())] if label else [])).add("said", T.DoubleType()).add("shape", T.StringType()).add("stem", T.LongType()).add("word", T.StringType()).add("prose", T.BooleanType())
     return base.mapInPandas(run, schema)
 
 
@@ -268,8 +279,8 @@ def source_limits(judged: DataFrame) -> DataFrame:
     return hist.groupBy("source", "field").applyInPandas(fit_censoring, FIT)
 
 
-def truncation_posterior(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """(id, source, field, len, evidence, posterior, p_cut) and carried columns of each text.
+def truncation_posterior(rows: DataFrame, carry: Sequence[str] = (), label: Callable[[str | None, str | None], str | None] | None = None) -> DataFrame:
+    """(id, source, field, len, evidence, posterior, p_cut), carried columns and ``label`` of each text.
 
     ``rows`` has id, source, field, text, sibling and prompt. ``posterior`` is that of the source's limit at this
     length (null off the limits); its log odds against an even chance, or the prior odds of a cut off the limits,
@@ -277,7 +288,7 @@ def truncation_posterior(rows: DataFrame, carry: Sequence[str] = ()) -> DataFram
     one's table, which has no texts, is written to the shared folder.
     """
     named = rows.withColumn("source", F.coalesce("source", F.lit("")))
-    judged = materialize(judge_endings(named, carry), "endings")
+    judged = materialize(judge_endings(named, carry, label), "endings")
     resolved = materialize(resolve_endings(judged, named), "evidence")
     limits = source_limits(resolved).select("source", "field", F.col("lim").alias("len"), "posterior")
     both = resolved.join(limits, ["source", "field", "len"], "left")
