@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from billspark.plans import general
+from billspark.plans import extract, general, ledger, quality, search
 
-MODULES = (general,)
+MODULES = (ledger, extract, search, quality, general)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
