@@ -78,7 +78,7 @@ SQL = {
   try_cast(regexp_replace(nullif(regexp_extract(text, '(?i)(?:amount|total|balance)[ \\t]+due\\s*[:;]?\\s*(\\$?[\\d,]+(?:\\.\\d{{2}})?)', 1), ''), '[$,]', '', 'g') AS DECIMAL(18,2))::DOUBLE AS amount_due,
   nullif(regexp_extract(text, '(\\(\\d{{3}}\\) \\d{{3}}-\\d{{4}})', 1), '') AS phone, lower(nullif(regexp_extract(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}})', 1), '')) AS email
   FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_type = 'statement')""",
-    "statement_totals": f"""WITH a AS (SELECT doc_id, n, list_transform(regexp_extract_all(replace(line, '—', '$0.00'), '\\$[\\d,]+(?:\\.\\d{{2}})?'), x -> {_parse("x")}) AS a FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents WHERE doc_type = 'statement') WHERE regexp_matches(line, '(?i)^\\s*totals\\s')),
+    "statement_totals": f"""WITH a AS (SELECT doc_id, n, list_transform(regexp_extract_all(replace(line, '—', '$0.00'), '\\$[\\d,]+(?:\\.\\d{{2}})?'), lambda x: {_parse("x")}) AS a FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents WHERE doc_type = 'statement') WHERE regexp_matches(line, '(?i)^\\s*totals\\s')),
   g AS (SELECT doc_id, arg_max(a, n) FILTER (len(a) >= 4) AS four, arg_min(a, n) FILTER (len(a) = 3) AS three FROM a GROUP BY 1)
   SELECT doc_id, coalesce(nullif(four[1], 0), three[1], four[1])::DOUBLE AS total_billed, four[2]::DOUBLE AS insurance, four[3]::DOUBLE AS adjustments, coalesce(nullif(four[4], 0), three[3], four[4])::DOUBLE AS patient_balance, coalesce(three[2], four[4])::DOUBLE AS outstanding_balance FROM g WHERE four IS NOT NULL OR three IS NOT NULL""",
     "statement_lines": f"""WITH l AS (SELECT doc_id, n + 1 AS line_no, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents WHERE doc_type = 'statement')),

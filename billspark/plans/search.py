@@ -33,9 +33,9 @@ def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (chunk_documents, doc_frequency, term_frequency, tfidf_topk)}
 
-_WORDS = "(SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), w -> w <> '') AS w FROM documents WHERE text IS NOT NULL)"
+_WORDS = "(SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda z: z <> '') AS w FROM documents WHERE text IS NOT NULL)"
 _CHUNKS = f"(SELECT doc_id, (start // 450)::BIGINT AS chunk_index, w[start + 1 : start + 500] AS c FROM (SELECT doc_id, w, unnest(range(0, len(w), 450)) AS start FROM {_WORDS} WHERE len(w) > 0))"
-_TOKENS = f"(SELECT doc_id, chunk_index, list_filter(regexp_extract_all(lower(array_to_string(c, ' ')), '[\\p{{L}}\\p{{N}}_]+'), t -> regexp_full_match(t, '[a-z0-9]+')) AS t FROM {_CHUNKS})"
+_TOKENS = f"(SELECT doc_id, chunk_index, list_filter(regexp_extract_all(lower(array_to_string(c, ' ')), '[\\p{{L}}\\p{{N}}_]+'), lambda z: regexp_full_match(z, '[a-z0-9]+')) AS t FROM {_CHUNKS})"
 _ASKED = "(SELECT query_id, unnest(string_split(lower(q), ' ')) AS term FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS) + ") v(query_id, q))"
 SQL = {
     "chunk_documents": f"SELECT doc_id, chunk_index, len(c) AS n_words FROM {_CHUNKS}",
