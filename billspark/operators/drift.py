@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from billspark.session import materialize
+
 #: JSON types by Python type; whole and decimal numbers are one type.
 _KINDS = ((bool, "boolean"), (int, "number"), (float, "number"), (str, "string"), (list, "array"))
 
@@ -110,12 +112,13 @@ def schema_changes(facts: DataFrame, min_overlap: float = 0.5) -> DataFrame:
     steps = files.select("feed", F.col("file_no").alias("to_no"), F.lag("file_no").over(_by_feed()).alias("from_no")).where("from_no is not null")
     old = steps.join(plain.withColumnRenamed("file_no", "from_no"), ["feed", "from_no"]).select("feed", "to_no", "from_no", "path", F.col("kinds").alias("old_kinds"), F.lit(True).alias("in_old"))
     new = steps.join(plain.withColumnRenamed("file_no", "to_no"), ["feed", "to_no"]).select("feed", "to_no", "from_no", "path", F.col("kinds").alias("new_kinds"), F.lit(True).alias("in_new"))
-    diff = old.join(new, ["feed", "to_no", "from_no", "path"], "full")
+    # the differences of files are few rows, and four later plans read them
+    diff = materialize(old.join(new, ["feed", "to_no", "from_no", "path"], "full").where("in_new is null or in_old is null or old_kinds != new_kinds"), "diff")
     gone = diff.where("in_new is null").select("feed", "to_no", "from_no", F.col("path").alias("old_path"))
     come = diff.where("in_old is null").select("feed", "to_no", "from_no", F.col("path").alias("new_path"))
     retyped = diff.where("in_old and in_new and size(old_kinds) > 0 and size(new_kinds) > 0 and old_kinds != new_kinds")
 
-    renamed = _renames(facts, gone, come, min_overlap)
+    renamed = materialize(_renames(facts, gone, come, min_overlap), "renamed")
     key = ["feed", "to_no"]
     added = come.join(renamed.select(*key, "new_path"), [*key, "new_path"], "left_anti")
     removed = gone.join(renamed.select(*key, "old_path"), [*key, "old_path"], "left_anti")
@@ -215,6 +218,6 @@ def promote(df: DataFrame, column: str, kind: str, path: str) -> DataFrame:
     """
     as_map = F.from_json("_rescued", T.MapType(T.StringType(), T.ArrayType(T.StringType())))
     value = F.try_element_at(F.try_element_at(as_map, F.lit(path)), F.lit(1)).try_cast(kind)
-    moved = df.withColumn("_value", value).withColumn("_left", F.when(F.col("_value").isNull(), F.col("_rescued")).otherwise(F.nullif(F.to_json(F.map_filter(as_map, lambda k, v: k != path)), F.lit("{}"))))
-    own = F.coalesce(F.col(f"`{column}`"), F.col("_value")) if column in df.columns else F.col("_value")
-    return moved.withColumn(column, own).withColumn("_rescued", F.col("_left")).drop("_value", "_left")
+    moved = df.withColumn("_promoted_value", value).withColumn("_promoted_left", F.when(F.col("_promoted_value").isNull(), F.col("_rescued")).otherwise(F.nullif(F.to_json(F.map_filter(as_map, lambda k, v: k != path)), F.lit("{}"))))
+    own = F.coalesce(F.col(f"`{column}`"), F.col("_promoted_value")) if column in df.columns else F.col("_promoted_value")
+    return moved.withColumn(column, own).withColumn("_rescued", F.col("_promoted_left")).drop("_promoted_value", "_promoted_left")

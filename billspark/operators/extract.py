@@ -93,3 +93,64 @@ def text_lines(texts: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rest = F.when(F.col("code").isNotNull(), F.replace(rest, F.col("code"), F.lit(" "))).otherwise(rest)
     rest = F.regexp_replace(F.regexp_replace(rest, r"\s{2,}", " "), r"^[ \-|:.,;]+|[ \-|:.,;]+$", "")
     return t.select(key, "line_no", "date", F.nullif(rest, F.lit("")).alias("description"), "code", C.parse_amount(F.col("raw")).alias("amount")).where("description is not null or code is not null")
+
+
+# Words of a header cell that name a column, in order of preference.
+GRID_COLUMNS = {
+    "date": ["date", "dos"],
+    "description": ["description", "service", "procedure", "item"],
+    "code": ["code", "cpt", "hcpcs"],
+    "billed": ["billed", "charge", "amount"],
+    "insurance": ["ins pmts", "insurance payments", "insurance paid", "ins. paid", "ins paid", "pmts"],
+    "adjustments": ["adjustment", "adj"],
+    "balance": ["patient bal", "responsibility", "pt. resp", "pt resp"],
+}
+
+
+def grid_lines(grids: DataFrame, key: str = "stmt_id", grid: str = "grid") -> DataFrame:
+    """Line items of table grids (array of rows of cells), the columns told by the words of the first row.
+
+    A column's earlier word wins over the place of a cell. Rows of totals, empty rows and grids without a description
+    or code column give nothing. One cell for adjustment and balance together gives both of its amounts.
+    """
+    head = F.transform(F.try_element_at(F.col(grid), F.lit(1)), lambda x: F.lower(F.trim(F.coalesce(x, F.lit("")))))
+    place = {}
+    for name, words in GRID_COLUMNS.items():
+        first = lambda w: F.array_position(F.transform("_h", lambda x: F.contains(x, F.lit(w))), True)
+        place[name] = F.coalesce(*[F.nullif(first(w), F.lit(0)) for w in words]).cast("int")
+    t = grids.where(F.size(grid) > 1).select(key, F.col(grid).alias("_g"), head.alias("_h")).select(key, "_g", F.struct(*[p.alias(n) for n, p in place.items()]).alias("_at"))
+    t = t.where("_at.description is not null or _at.code is not null")
+    rows = t.select(key, "_at", F.posexplode(F.slice("_g", F.lit(2), F.size("_g"))).alias("i", "_r")).where(F.exists("_r", lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""))
+    cell = lambda n: F.nullif(F.trim(F.try_element_at(F.col("_r"), F.col(f"_at.{n}"))), F.lit(""))
+    money = lambda n: C.parse_amount(cell(n))
+    both = F.transform(C.amounts_in(cell("adjustments")), C.parse_amount)
+    shared = (F.col("_at.adjustments") == F.col("_at.balance")) & (F.size(both) >= 2)
+    out = rows.select(
+        key,
+        (F.col("i") + 1).cast("bigint").alias("row_no"),
+        C.normalize_date(cell("date")).alias("date"),
+        cell("description").alias("description"),
+        cell("code").alias("code"),
+        money("billed").alias("billed"),
+        money("insurance").alias("insurance"),
+        F.when(shared, F.try_element_at(both, F.lit(1))).otherwise(money("adjustments")).alias("adjustments"),
+        F.when(shared, F.try_element_at(both, F.lit(2))).otherwise(money("balance")).alias("balance"),
+    )
+    return out.where("(description is not null or code is not null or billed is not null) and lower(coalesce(description, '')) not in ('total', 'totals')")
+
+
+def clean_payer(c: Column) -> Column:
+    """A payer's name out of a line of text: what stands before other labels and post boxes, without spoilt brackets."""
+    line = F.regexp_replace(F.trim(F.split(F.trim(c), "\n").getItem(0)), r"\s+", " ")
+    line = F.regexp_replace(line, r"(?i) (?:secondary insurance|(?:service |due |statement )?date|service type|policy (?:#|number)|status|guarantor|patient|account #) ?:?.*$", "")
+    line = F.regexp_replace(line, r"(?i),? ?\(?\bP\.? ?O\.? ?Box\b.*$", "")
+    # a bracket that holds more than two odd signs, or never closes
+    line = F.regexp_replace(line, r"\((?:[^()]*[^\w\s(),./&+–-]){3,}[^()]*\)|\([^)]*$", "")
+    return F.nullif(F.regexp_replace(line, r"^[ \-:|.,]+|[ \-:|.,]+$", ""), F.lit(""))
+
+
+def payers(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, primary, secondary): the payers after their labels; a bare label of insurance is the primary one."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    primary = F.coalesce(_first(t, r"(?i)primary insurance:[ \t]*([^\n]+)"), _first(t, r"(?im)^insurance:[ \t]*([^\n]+)"))
+    return texts.select(key, clean_payer(primary).alias("primary"), clean_payer(_first(t, r"(?i)secondary insurance:[ \t]*([^\n]+)")).alias("secondary"))

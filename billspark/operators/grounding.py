@@ -54,3 +54,21 @@ def line_recall(gold: DataFrame, parsed: DataFrame, key: str, slack: str = "0.01
 
 def share(c: Column) -> Column:
     return F.round(F.avg(c.cast("int")), 4)
+
+
+def field_recall(gold: DataFrame, parsed: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(field, n, n_equal, recall): of the gold values that are there, how many the parsed side has just so."""
+    p = parsed.select(key, *[F.col(f).alias(f"_p_{f}") for f in fields])
+    met = gold.select(key, *fields).join(p, key, "left")
+    long = met.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("g"), F.col(f"_p_{f}").cast("string").alias("p")) for f in fields])).alias("x")).select("x.*").where("g is not null")
+    return long.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("g").eqNullSafe(F.col("p"))).alias("n_equal"), F.round(F.count_if(F.col("g").eqNullSafe(F.col("p"))) / F.count("*"), 4).alias("recall"))
+
+
+def outcomes(runs: DataFrame, variants: list[str]) -> DataFrame:
+    """(variant, n_ok, n_rejected, n_error, recall) of runs (variant, outcome, recall): every variant has a row, and
+    the average recall is that of the runs that went well."""
+    spark = runs.sparkSession
+    ok = F.col("outcome") == "ok"
+    g = runs.groupBy("variant").agg(F.count_if(ok).alias("n_ok"), F.count_if(F.col("outcome") == "rejected").alias("n_rejected"), F.count_if(F.col("outcome") == "error").alias("n_error"), F.round(F.avg(F.when(ok, F.col("recall").cast("decimal(9,4)"))).cast("double"), 4).alias("recall"))
+    every = spark.createDataFrame([(v,) for v in variants], "variant string")
+    return every.join(g, "variant", "left").fillna(0, ["n_ok", "n_rejected", "n_error"])

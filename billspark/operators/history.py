@@ -54,3 +54,12 @@ def clean_text(c: Column) -> Column:
     c = F.regexp_replace(c, r"[ \t]+", " ")
     c = F.regexp_replace(c, r" *\n *", "\n")
     return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
+def buffer_results(messages: DataFrame, role: str = "tool") -> DataFrame:
+    """(conv, first_turn, role, texts): neighbouring messages of ``role`` as one, the others as they are."""
+    w = Window.partitionBy("conv").orderBy("turn")
+    t = messages.withColumn("_new", F.when((F.col("role") == role) & (F.lag("role").over(w) == role), 0).otherwise(1))
+    t = t.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = t.groupBy("conv", "_g").agg(F.min("turn").alias("first_turn"), F.first("role").alias("role"), F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("m"))
+    return g.select("conv", "first_turn", "role", F.transform("m", lambda x: x["text"]).alias("texts"))

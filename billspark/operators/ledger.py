@@ -86,3 +86,15 @@ def totals_audit(bills: DataFrame, lines: DataFrame, key: str = "bill_id", slack
     t = bills.select(key, "summary_of_services.totals").join(line_totals(lines, key), key)
     long = t.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col("totals").getField(f).alias("stated"), F.col(s).alias("summed")) for f, s in pairs.items()])).alias("x")).select(key, "x.*")
     return long.where(F.abs(F.col("stated") - F.col("summed")) > F.lit(slack).cast(MONEY)).select(key, "field", F.col("stated").cast("double").alias("stated"), F.col("summed").cast("double").alias("summed"))
+
+
+def bill_signals(bills: DataFrame, lines: DataFrame, key: str = "bill_id") -> DataFrame:
+    """(bill_id, no_insurance, collections, collections_fee, repeated) of each bill, false where nothing tells."""
+    primary = F.lower(F.trim(F.coalesce(F.col("insurance.primary"), F.lit(""))))
+    fee = F.lower(F.coalesce("service_name", F.lit(""))).rlike("collection|agency assessment")
+    per = lines.groupBy(key).agg(F.max(fee).alias("fee"))
+    twice = repeated_lines(lines, key).select(key).distinct().withColumn("repeated", F.lit(True))
+    t = bills.select(key, primary.rlike(r"none on file|self-pay|self pay|no insurance|uninsured").alias("no_insurance"), F.col("_collections_notice").isNotNull().alias("notice"))
+    t = t.join(per, key, "left").join(twice, key, "left")
+    no = F.lit(False)
+    return t.select(key, "no_insurance", (F.col("notice") | F.coalesce("fee", no)).alias("collections"), F.coalesce("fee", no).alias("collections_fee"), F.coalesce("repeated", no).alias("repeated"))

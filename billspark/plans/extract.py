@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billspark.operators import extract, ledger
+from billspark.operators import extract, grounding, ledger
 from billspark.plans.ledger import BILLS, LINES, bills
 from billspark.session import spread, table
 
@@ -53,7 +53,38 @@ def statement_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return printed.join(read, "bill_id", "left").select("bill_id", "lines_in", "lines_out", F.col("sum_in").cast("double").alias("sum_in"), F.col("sum_out").cast("double").alias("sum_out"))
 
 
-QUERIES = {f.__name__: f for f in (amount_parse, date_normalize, code_extract, statement_header, statement_totals, statement_lines, statement_roundtrip)}
+def statement_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of each bill laid out as a table grid and read back."""
+    b = bills(spark, d, "summary_of_services")
+    shown = lambda c: F.coalesce(F.when(F.col(c) < 0, F.concat(F.lit("($"), F.format_number(-F.col(c), 2), F.lit(")"))).otherwise(F.concat(F.lit("$"), F.format_number(c, 2))), F.lit(""))
+    row = F.array(F.lit("line"), F.concat(F.lit("no "), F.col("item_no").cast("string")), *[shown(c) for c in ledger.FOUR])
+    rows = ledger.bill_lines(b).groupBy(F.col("bill_id").alias("stmt_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("item_no", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    head = F.array(*[F.lit(x) for x in ("Service", "CPT", "Billed", "Ins Pmts", "Adj", "Patient Bal")])
+    t = extract.grid_lines(rows.select("stmt_id", F.concat(F.array(head), "rows").alias("grid")))
+    return t.select("stmt_id", "code", *[F.col(c).cast("double").alias(c) for c in ledger.FOUR])
+
+
+def _printed(spark: SparkSession, d: str) -> DataFrame:
+    b = bills(spark, d, "statement_date", "due_date", "insurance", "total_amount_due")
+    due = F.concat(F.lit("$"), F.format_number("total_amount_due", 2))
+    text = F.concat_ws("\n", F.concat(F.lit("Statement date: "), "statement_date"), F.concat(F.lit("Pay by: "), "due_date"), F.concat(F.lit("Primary Insurance: "), F.trim("insurance.primary"), F.lit(" Policy #: 77")), F.concat(F.lit("Secondary Insurance: "), F.trim("insurance.secondary"), F.lit(", P.O. Box 12")), F.concat(F.lit("Amount due "), due))
+    return b.select("bill_id", "statement_date", "due_date", F.col("total_amount_due").cast("decimal(18,2)").alias("amount_due"), F.nullif(F.trim("insurance.primary"), F.lit("")).alias("primary"), F.nullif(F.trim("insurance.secondary"), F.lit("")).alias("secondary"), text.alias("text"))
+
+
+def field_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Header fields of each bill printed as text and read back: recall by field."""
+    p = _printed(spark, d)
+    read = extract.header(p, "bill_id").join(extract.payers(p, "bill_id"), "bill_id")
+    t = grounding.field_recall(p.where("amount_due >= 0"), read, "bill_id", ["statement_date", "due_date", "amount_due", "primary", "secondary"])
+    return t
+
+
+def bill_signals(spark: SparkSession, d: str) -> DataFrame:
+    b = bills(spark, d, "insurance", "_collections_notice", "summary_of_services")
+    return ledger.bill_signals(b, ledger.bill_lines(b))
+
+
+QUERIES = {f.__name__: f for f in (amount_parse, date_normalize, code_extract, statement_header, statement_totals, statement_lines, statement_roundtrip, statement_grid, field_recall, bill_signals)}
 
 _AMOUNT = r"\(?\s*\$?\s*[\d,]+\.\d{2}\s*\)?"
 _MD = r"(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}"
@@ -86,5 +117,10 @@ SQL = {
   u AS (SELECT *, regexp_replace(regexp_replace(line, '({_MD}|{_D})', ' ', 'g'), '\\$[\\d,]+(?:\\.\\d{{2}})?', ' ', 'g') AS rest FROM t WHERE len(a) > 0)
   SELECT * FROM (SELECT doc_id, line_no, date, nullif(regexp_replace(regexp_replace(CASE WHEN code IS NOT NULL THEN replace(rest, code, ' ') ELSE rest END, '\\s{{2,}}', ' ', 'g'), '^[ \\-|:.,;]+|[ \\-|:.,;]+$', '', 'g'), '') AS description, code, {_parse("a[len(a)]")}::DOUBLE AS amount FROM u) WHERE description IS NOT NULL OR code IS NOT NULL""",
     "statement_roundtrip": f"""SELECT bill_id, count(*) AS lines_in, count(*) AS lines_out, sum(abs(billed))::DOUBLE AS sum_in, sum(abs(billed))::DOUBLE AS sum_out FROM {LINES} WHERE billed IS NOT NULL GROUP BY 1""",
+    "statement_grid": f"SELECT bill_id AS stmt_id, 'no ' || item_no AS code, billed::DOUBLE AS billed, insurance::DOUBLE AS insurance, adjustments::DOUBLE AS adjustments, balance::DOUBLE AS balance FROM {LINES}",
+    "field_recall": " UNION ALL ".join(f"SELECT '{f}' AS field, count({c}) AS n, count({c}) AS n_equal, 1.0::DOUBLE AS recall FROM {BILLS} WHERE total_amount_due >= 0 HAVING count({c}) > 0" for f, c in (("statement_date", "statement_date"), ("due_date", "due_date"), ("amount_due", "total_amount_due"), ("primary", "nullif(trim(insurance.primary), '')"), ("secondary", "nullif(trim(insurance.secondary), '')"))),
+    "bill_signals": f"""WITH l AS (SELECT * FROM {LINES}), f AS (SELECT bill_id, bool_or(regexp_matches(lower(coalesce(service_name, '')), 'collection|agency assessment')) AS fee FROM l GROUP BY 1),
+  r AS (SELECT DISTINCT bill_id FROM l WHERE lower(trim(coalesce(service_name, ''))) <> '' OR coalesce(code, '') <> '' GROUP BY bill_id, code, lower(trim(coalesce(service_name, ''))), billed, balance HAVING count(*) > 1)
+  SELECT b.bill_id, regexp_matches(lower(trim(coalesce(insurance.primary, ''))), 'none on file|self-pay|self pay|no insurance|uninsured') AS no_insurance, _collections_notice IS NOT NULL OR coalesce(fee, false) AS collections, coalesce(fee, false) AS collections_fee, r.bill_id IS NOT NULL AS repeated
+  FROM {BILLS} b LEFT JOIN f ON f.bill_id = b.bill_id LEFT JOIN r ON r.bill_id = b.bill_id""",
 }
-_ = BILLS
