@@ -19,6 +19,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billspark.session import materialize
+
 # Letters of other scripts that look like a Latin letter, as pairs of letter and Latin letter.
 LOOKALIKES = {
     "Cyrillic": "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ɡg АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY ԌG ԚQ ԜW ӀI",
@@ -137,10 +139,13 @@ def consistent_form(df: DataFrame, id_column: str = "doc_id", text_column: str =
     base = df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *[F.col(f"`{c}`") for c in carry])
     gone = "".join(k for k, v in single.items() if not v)
     kept = "".join(k for k, v in single.items() if v)
-    t = base.withColumn("_t", F.translate("_text", kept + gone, "".join(single[k] for k in kept)))
+    # most texts have no character beyond ASCII, which the lengths in bytes and characters tell
+    ascii_ = F.octet_length("_text") == F.char_length("_text")
+    unchanged = base.where(ascii_ | F.col("_text").isNull()).select("_id", "_text", F.col("_text").alias("_form"), *carry)
+    t = base.where(~ascii_).withColumn("_t", F.translate("_text", kept + gone, "".join(single[k] for k in kept)))
     special = _class(joined())
     marked = F.col("_t").rlike(f"[\\p{{M}}\\x{{1100}}-\\x{{11ff}}{special}]")
-    plain = t.where(~marked | F.col("_t").isNull()).select("_id", "_text", F.col("_t").alias("_form"), *carry)
+    plain = t.where(~marked).select("_id", "_text", F.col("_t").alias("_form"), *carry)
 
     cluster = f"((?:[{special}]|[^\\p{{M}}])\\p{{M}}+|[{special}]|\\p{{M}}+|[\\x{{1100}}-\\x{{11ff}}]+)"
     held = F.split(F.regexp_replace("_t", cluster, f"{_OPEN}$1{_OPEN}"), _OPEN)
@@ -164,17 +169,17 @@ def consistent_form(df: DataFrame, id_column: str = "doc_id", text_column: str =
         F.max_by("_row", F.col("_row").isNotNull()).alias("_row"),
     )
     exploded = done.select("_id", F.col("_row._text").alias("_text"), "_form", *[F.col("_row").getField(x).alias(x) for x in carry])
-    return plain.unionByName(exploded).select(F.col("_id").alias(id_column), F.col("_text").alias("text"), F.col("_form").alias("form"), *carry)
+    return unchanged.unionByName(plain).unionByName(exploded).select(F.col("_id").alias(id_column), F.col("_text").alias("text"), F.col("_form").alias("form"), *carry)
 
 
 def lookalike_pairs(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b) with a < b of texts that look the same and are not the same string.
 
-    Forms and texts are compared by their 128-bit digests. Groups whose texts are all equal, however large, fall out
-    by a pre-aggregate before any pair is made. Rows of null text or id are in no pair.
+    Forms and texts are compared by their 128-bit digests. The digests are written
+    once; groups whose texts are all equal, however large, fall out by a pre-aggregate before any pair is made. Rows of null text or id are in no pair.
     """
     f = consistent_form(df, id_column, text_column).where(f"form is not null and `{id_column}` is not null")
-    d = f.select(F.col(id_column).alias("id"), F.md5("form").alias("f"), F.md5("text").alias("t"))
+    d = materialize(f.select(F.col(id_column).alias("id"), F.md5("form").alias("f"), F.md5("text").alias("t")), "forms")
     mixed = d.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi").select("f")
     m = d.join(mixed, "f", "left_semi")
     a, b = m.withColumnsRenamed({"id": "doc_id_a", "t": "ta"}), m.withColumnsRenamed({"id": "doc_id_b", "t": "tb"})
