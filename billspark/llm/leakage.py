@@ -175,7 +175,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
             index = ItemIndex(shared.value, **parameters)
             for b in batches:
                 rows = [(d, i, n) for d, t in zip(b["d"], b["t"]) for i, n in index.kept(t).items() if n >= least]
-                yield pd.DataFrame(rows, columns=["d", "i", "n"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["d", "i", "n"])
 
         found = docs.mapInPandas(run, f"d {kind}, i bigint, n int")
         out = found if out is None else out.unionByName(found)

@@ -159,7 +159,9 @@ def consistent_form(df: DataFrame, id_column: str = "doc_id", text_column: str =
     moved = moved.repartition("_id").dropDuplicates(["_id", "_h", "_pos", "_cpos", "_k"])
     from pyspark.sql import Window
 
-    run_no = F.sum(F.when(F.col("_ccc") == 0, 1).otherwise(0)).over(Window.partitionBy("_id", "_h", "_pos").orderBy("_cpos", "_k"))
+    # a run begins at each character that no mark or vowel sign of Hangul is
+    starts = (F.col("_ccc") == 0) & ~F.col("_to").between("\u1161", "\u11ff")
+    run_no = F.sum(F.when(starts, 1).otherwise(0)).over(Window.partitionBy("_id", "_h", "_pos").orderBy("_cpos", "_k"))
     runs = moved.withColumn("_run", run_no).groupBy("_id", "_h", "_pos", "_run").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ccc", "_cpos", "_k", "_to"))), lambda x: x["_to"]), "").alias("run"),
         F.max("_whole").alias("_whole"), F.max_by("_row", F.col("_row").isNotNull()).alias("_row"),

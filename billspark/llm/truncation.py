@@ -182,8 +182,9 @@ def continuations(rows: DataFrame, stems: DataFrame, broadcast_stems: int = 1_00
                             elif whole:
                                 end[h, w.rstrip(".!?…")] += n
                         prefix = f"{prefix} {_NUMBER.sub('0', w) if '0' in w else w}" if prefix else (_NUMBER.sub("0", w) if "0" in w else w)
-            keys = on.keys() | end.keys()
-            yield pd.DataFrame({"stem": [k[0] for k in keys], "next": [k[1] for k in keys], "goes_on": [on[k] for k in keys], "ends": [end[k] for k in keys]})
+            keys = list(on.keys() | end.keys())
+            if keys:
+                yield pd.DataFrame({"stem": [k[0] for k in keys], "next": [k[1] for k in keys], "goes_on": [on[k] for k in keys], "ends": [end[k] for k in keys]})
 
     nodes = rows.where("text is not null").select("id", "text").mapInPandas(run, "stem bigint, next string, goes_on bigint, ends bigint")
     nodes = nodes.groupBy("stem", "next").agg(F.sum("goes_on").alias("goes_on"), F.sum("ends").alias("ends"))
@@ -191,14 +192,15 @@ def continuations(rows: DataFrame, stems: DataFrame, broadcast_stems: int = 1_00
 
 
 def resolve_endings(judged: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id, source, field, len, evidence, carried): ends that punctuation left open are settled by all texts.
+    """(id, source, field, len, evidence, posterior, carried): open ends are settled by all texts.
 
-    Of each open shape it is counted how often its words end a unit, beyond this text's own end, and how often they
-    go on, be it with more words or with more letters of the last word.
+    ``judged`` has the posterior of a limit at each text's length. Of each open shape it is counted how often its
+    words end a unit elsewhere, open ends only where no limit may have cut them, and how often they go on, be it with
+    more words or with more letters of the last word.
     """
     carried = [c for c in judged.columns if c not in ("said", "shape", "stem", "word", "prose")]
     open_ = judged.where("shape is not null")
-    asked = open_.groupBy("stem", "word", "shape").agg(F.count_distinct("id").alias("own"))
+    asked = open_.groupBy("stem", "word", "shape").agg(F.count_distinct(F.when(F.col("posterior").isNull(), F.col("id"))).alias("own"))
     nodes = continuations(rows, asked.select("stem").distinct())
     same = F.col("next") == F.col("word")
     seen = asked.join(nodes, "stem").where(F.startswith("next", "word")).groupBy("shape").agg(
@@ -209,8 +211,8 @@ def resolve_endings(judged: DataFrame, rows: DataFrame) -> DataFrame:
     # open ends of the same words in other texts count as well
     known = asked.groupBy("shape").agg(F.max("own").alias("own")).join(seen.drop("own"), "shape", "left")
     longer = asked.alias("a").join(asked.alias("b"), (F.col("a.stem") == F.col("b.stem")) & (F.col("a.word") != F.col("b.word")) & F.startswith(F.col("b.word"), F.col("a.word"))).groupBy(F.col("a.shape").alias("shape")).agg(F.sum("b.own").alias("longer"))
-    known = known.join(longer, "shape", "left").select("shape", (F.coalesce("ends", F.lit(0)) + F.col("own") - 1).alias("ends"), (F.coalesce("goes_on", F.lit(0)) + F.coalesce("longer", F.lit(0))).alias("goes_on"))
-    more = F.col("ends")
+    known = known.join(longer, "shape", "left").select("shape", (F.coalesce("ends", F.lit(0)) + F.col("own")).alias("ends"), (F.coalesce("goes_on", F.lit(0)) + F.coalesce("longer", F.lit(0))).alias("goes_on"))
+    more = F.col("ends") - F.when(F.col("posterior").isNull(), 1).otherwise(0)
     verdict = (
         F.when((F.col("goes_on") == 0) & (more >= 1), WHOLE)
         .when(F.col("goes_on") == 0, F.when(F.col("prose"), CUT / 2).otherwise(0.0))
@@ -271,11 +273,11 @@ def fit_censoring(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def source_limits(judged: DataFrame) -> DataFrame:
-    """Candidate limits of each source and field, from its histogram of lengths.
+    """Candidate limits of each source and field, from its histogram of lengths and of ends that may be cuts.
 
     One task gets one row for each length of a source and field, not its texts.
     """
-    hist = judged.where("len > 0").groupBy("source", "field", "len").agg(F.count("*").alias("n"), F.count_if(F.col("evidence") > 0).alias("cut"))
+    hist = judged.where("len > 0").groupBy("source", "field", "len").agg(F.count("*").alias("n"), F.count_if(F.col("said").isNull() | (F.col("said") > 0)).alias("cut"))
     return hist.groupBy("source", "field").applyInPandas(fit_censoring, FIT)
 
 
@@ -289,8 +291,7 @@ def truncation_posterior(rows: DataFrame, carry: Sequence[str] = (), label: Call
     """
     named = rows.withColumn("source", F.coalesce("source", F.lit("")))
     judged = materialize(judge_endings(named, carry, label), "endings")
-    resolved = materialize(resolve_endings(judged, named), "evidence")
-    limits = source_limits(resolved).select("source", "field", F.col("lim").alias("len"), "posterior")
-    both = resolved.join(limits, ["source", "field", "len"], "left")
+    limits = materialize(source_limits(judged).select("source", "field", F.col("lim").alias("len"), "posterior"), "limits")
+    both = resolve_endings(judged.join(limits, ["source", "field", "len"], "left"), named)
     at = F.coalesce(F.ln(F.greatest(F.col("posterior"), F.lit(1e-3)) / (1 - F.col("posterior"))), F.lit(-2.0))
     return both.withColumn("p_cut", 1 / (1 + F.exp(-(F.col("evidence") + at))))
