@@ -88,7 +88,8 @@ def flatten_payloads(df: DataFrame, feed: str = "feed", file_no: str = "file_no"
                     kind = next((k for t, k in _KINDS if isinstance(v, t)), None)
                     for c, x in zip(cols, (f, n, r, path, kind, canonical(v))):
                         c.append(x)
-            yield pd.DataFrame(dict(zip(("feed", "file_no", "record_id", "path", "kind", "value"), cols)))
+            if cols[0]:
+                yield pd.DataFrame(dict(zip(("feed", "file_no", "record_id", "path", "kind", "value"), cols)))
 
     return df.where(F.col(payload).isNotNull() & F.col(file_no).isNotNull()).select(F.col(feed).alias("feed"), F.col(file_no).cast("int").alias("file_no"), F.col(record_id).cast("bigint").alias("record_id"), F.col(payload).alias("payload")).mapInPandas(run, FACTS)
 
