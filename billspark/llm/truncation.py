@@ -97,7 +97,8 @@ def ending(text: str | None, sibling: str | None, prompt: str | None) -> tuple[f
         p, x = _plain(prompt), _plain(last)
         if len(x) >= 8 and x in p and len(_plain(bare)) <= 2.2 * len(p) + 30:
             return WHOLE, None, False
-    if bare[-1:] in ",;(–—":
+    # a separator, or what is left of a character that was cut in two
+    if bare[-1:] in ",;(–—\ufffd":
         return CUT, None, False
     return None, last, len(units) > 1
 
@@ -230,8 +231,8 @@ FIT = "source string, field string, lim int, at_limit bigint, mu double, sigma d
 def fit_censoring(pdf: pd.DataFrame) -> pd.DataFrame:
     """Candidate limits of one source and field from its lengths: columns len, n, cut (of these, ends within a sentence).
 
-    A candidate is a length at which several values end within a sentence, or at which far more values lie than at
-    the lengths around it. The log-normal of the other, uncensored, values is fitted with those at the limit as
+    A candidate is a length at which several values, and a good part of those there, may end within a sentence, and
+    at which far more values lie than at the lengths around it. The log-normal of the other, uncensored, values is fitted with those at the limit as
     right-censored (expectation and maximisation on the truncated normal), and the posterior of a value at the limit
     is the censored share of what lies there.
     """
@@ -241,7 +242,7 @@ def fit_censoring(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for length, n, cut in zip(lens, ns, cuts):
         near = ns[(abs(lens - length) <= 10) & (lens != length)].sum() / 20.0
-        if cut >= 3 and n >= 4 * (near + 0.25) or n >= 5 and n >= 12 * (near + 0.25):
+        if cut >= 3 and cut >= 0.4 * n and n >= near + 4 * math.sqrt(near) + 2:
             out.append((int(length), int(n), int(cut)))
     rows = []
     for limit, n_at, cut_at in out:
