@@ -104,10 +104,12 @@ def schema_changes(facts: DataFrame, min_overlap: float = 0.5) -> DataFrame:
     value, so a large feed is spread over the tasks.
     """
     fields = facts.groupBy("feed", "file_no", "path").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    # an array without objects is no field of its own where another record of the file has objects at its path
-    objects = fields.where(F.col("path").contains("[]")).select("feed", "file_no", F.substring_index("path", "[]", 1).alias("path")).distinct()
-    plain = fields.join(objects, ["feed", "file_no", "path"], "left_anti")
-    plain = plain.union(fields.join(objects, ["feed", "file_no", "path"], "left_semi").where(F.array_contains("kinds", "string") | F.array_contains("kinds", "number") | F.array_contains("kinds", "boolean")))
+    # a null, or an array without objects, is no field of its own where another record of the file has an object there
+    parts = F.split("path", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), k), "."), r"\[\]$", ""))
+    objects = fields.where(F.size(parts) > 1).select("feed", "file_no", F.explode(above).alias("path")).distinct().withColumn("object_there", F.lit(True))
+    plain = fields.join(objects, ["feed", "file_no", "path"], "left")
+    plain = plain.where(F.col("object_there").isNull() | (F.size(F.array_except("kinds", F.array(F.lit("array")))) > 0)).drop("object_there")
 
     files = facts.select("feed", "file_no").distinct()
     steps = files.select("feed", F.col("file_no").alias("to_no"), F.lag("file_no").over(_by_feed()).alias("from_no")).where("from_no is not null")

@@ -46,6 +46,11 @@ def test_other_values_are_no_change(spark):
     assert changes(spark, rows) == set()
 
 
+def test_null_where_others_have_an_object(spark):
+    rows = [("f", k, 10 * k + i, json.dumps({"a": i, "o": None if i and k == 1 else {"x": 1}, "l": [] if i and k == 1 else [{"y": 1}]})) for k in (1, 2) for i in range(3)]
+    assert changes(spark, rows) == set()
+
+
 def test_empty_and_unreadable(spark):
     assert changes(spark, []) == set()
     assert changes(spark, [("f", 1, 1, "{"), ("f", 2, 2, None)]) == set()
