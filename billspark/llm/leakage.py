@@ -153,7 +153,7 @@ class ItemIndex:
         return out
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: int = 15, block_chars: int = 8_000_000, **parameters) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: int = 13, block_chars: int = 8_000_000, **parameters) -> DataFrame:
     """(doc_id, item_id, words_kept) of each document that keeps ``least`` words of an item's own wording.
 
     No shuffle of the corpus. The items are the stated query set; they are broadcast in blocks of at most
