@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
+import sys
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +29,26 @@ def get_spark(app: str = "billspark", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the session's Python workers, once, so that it need not be installed where they run.
+
+    The driver's own file server hands it out; nothing is read from a local folder by the executors.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="billspark-"), "billspark_package"), "zip", root.parent, root.name)
+    sc.addPyFile(archive)
+    sys.path[:] = [p for p in sys.path if "billspark_package" not in p]  # the driver keeps its own copy
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
