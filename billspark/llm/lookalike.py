@@ -142,7 +142,9 @@ def consistent_form(df: DataFrame, id_column: str = "doc_id", text_column: str =
     # most texts have no character beyond ASCII, which the lengths in bytes and characters tell
     ascii_ = F.octet_length("_text") == F.char_length("_text")
     unchanged = base.where(ascii_ | F.col("_text").isNull()).select("_id", "_text", F.col("_text").alias("_form"), *carry)
-    t = base.where(~ascii_).withColumn("_t", F.translate("_text", kept + gone, "".join(single[k] for k in kept)))
+    # as a generator's output the translated text is computed once, not again for each filter on it
+    once = F.inline(F.array(F.struct(F.translate("_text", kept + gone, "".join(single[k] for k in kept)).alias("_t"))))
+    t = base.where(~ascii_).select("*", once)
     special = _class(joined())
     marked = F.col("_t").rlike(f"[\\p{{M}}\\x{{1100}}-\\x{{11ff}}{special}]")
     plain = t.where(~marked).select("_id", "_text", F.col("_t").alias("_form"), *carry)

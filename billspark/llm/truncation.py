@@ -203,16 +203,15 @@ def resolve_endings(judged: DataFrame, rows: DataFrame) -> DataFrame:
     open_ = judged.where("shape is not null")
     asked = open_.groupBy("stem", "word", "shape").agg(F.count_distinct(F.when(F.col("posterior").isNull(), F.col("id"))).alias("own"))
     nodes = continuations(rows, asked.select("stem").distinct())
-    same = F.col("next") == F.col("word")
-    seen = asked.join(nodes, "stem").where(F.startswith("next", "word")).groupBy("shape").agg(
-        F.max("own").alias("own"),
-        F.coalesce(F.sum(F.when(same, F.col("ends"))), F.lit(0)).alias("ends"),
-        F.coalesce(F.sum(F.when(same, F.col("goes_on")).otherwise(F.col("goes_on") + F.col("ends"))), F.lit(0)).alias("goes_on"),
-    )
     # open ends of the same words in other texts count as well
-    known = asked.groupBy("shape").agg(F.max("own").alias("own")).join(seen.drop("own"), "shape", "left")
-    longer = asked.alias("a").join(asked.alias("b"), (F.col("a.stem") == F.col("b.stem")) & (F.col("a.word") != F.col("b.word")) & F.startswith(F.col("b.word"), F.col("a.word"))).groupBy(F.col("a.shape").alias("shape")).agg(F.sum("b.own").alias("longer"))
-    known = known.join(longer, "shape", "left").select("shape", (F.coalesce("ends", F.lit(0)) + F.col("own")).alias("ends"), (F.coalesce("goes_on", F.lit(0)) + F.coalesce("longer", F.lit(0))).alias("goes_on"))
+    ends = asked.groupBy("stem", F.col("word").alias("next")).agg(F.lit(0).cast("bigint").alias("goes_on"), F.sum("own").alias("ends"))
+    words = nodes.unionByName(ends).groupBy("stem", "next").agg(F.sum("goes_on").alias("goes_on"), F.sum("ends").alias("ends"))
+    # a word is met by its own beginnings, an equality each, so that no stem makes pairs of all its words
+    begins = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("next"), F.lit(64)))), lambda i: F.left("next", i)), F.array("next")))
+    met = words.select("stem", "next", "goes_on", "ends", F.explode(begins).alias("word")).join(asked.select("stem", "word").distinct(), ["stem", "word"])
+    same = F.col("next") == F.col("word")
+    seen = met.groupBy("stem", "word").agg(F.sum(F.when(same, F.col("ends")).otherwise(0)).alias("ends"), F.sum(F.when(same, F.col("goes_on")).otherwise(F.col("goes_on") + F.col("ends"))).alias("goes_on"))
+    known = asked.join(seen, ["stem", "word"]).groupBy("shape").agg(F.max("ends").alias("ends"), F.max("goes_on").alias("goes_on"))
     more = F.col("ends") - F.when(F.col("posterior").isNull(), 1).otherwise(0)
     verdict = (
         F.when((F.col("goes_on") == 0) & (more >= 1), WHOLE)
