@@ -73,8 +73,7 @@ def amounts_in(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words of letters a to z and digits that no other letter, digit or underscore touches, lower case, in order."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    return F.filter(runs, lambda x: x.rlike("^[a-z0-9]+$"))
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"((?<![\p{L}\p{N}_])[a-z0-9]++(?![\p{L}\p{N}_]))"), F.lit(1))
 
 
 def code_tokens(c: Column) -> Column:

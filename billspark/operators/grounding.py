@@ -15,12 +15,12 @@ CLAIM_AMOUNT = r"\$\s*([\d,]+(?:\.\d{2})?)"
 CLAIM_CODE = r"(?:CPT|HCPCS)\s*(?:code\s*)?(\d{5}|[A-Z]\d{4})"
 
 
-def claimed(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, value) of amounts and labelled codes in a text, repeats kept; amounts in cents."""
+def claimed(texts: DataFrame, key: str, text: str, *carry: str) -> DataFrame:
+    """(key, carried columns, kind, value) of amounts and labelled codes in a text, repeats kept; amounts in cents."""
     t = F.coalesce(F.col(text), F.lit(""))
     amounts = F.transform(F.regexp_extract_all(t, F.lit(CLAIM_AMOUNT), F.lit(1)), lambda x: F.struct(F.lit("amount").alias("kind"), (C.parse_amount(x) * 100).cast("bigint").cast("string").alias("value")))
     codes = F.transform(F.regexp_extract_all(t, F.lit(CLAIM_CODE), F.lit(1)), lambda x: F.struct(F.lit("code").alias("kind"), x.alias("value")))
-    return texts.select(key, F.explode(F.concat(amounts, codes)).alias("x")).select(key, "x.kind", "x.value").where("value is not null")
+    return texts.select(key, *carry, F.explode(F.concat(amounts, codes)).alias("x")).select(key, *carry, "x.kind", "x.value").where("value is not null")
 
 
 def known_of_bills(bills: DataFrame, key: str) -> DataFrame:

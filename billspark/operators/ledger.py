@@ -41,17 +41,16 @@ def row_violations(lines: DataFrame, stated: DataFrame, key: str = "bill_id") ->
 def consistency(lines: DataFrame, stated: DataFrame, key: str = "bill_id") -> DataFrame:
     """The stated total of each bill against the sums of its lines.
 
-    One shuffle by bill brings lines and stated totals together: sums and violations come from one aggregate, whose
-    row tolerance needs the sum of balances first and so goes over the bill's own array of gaps.
+    The sums are one hash aggregate; only lines with a gap at all, commonly few, go on to be held against the
+    tolerance of their bill, for which the aggregate's shuffle is used again.
     """
+    sums = line_totals(lines, key)
+    t = stated.select(key, "stated").join(sums, key, "left")
+    t = t.withColumn("summed", F.coalesce("sum_balance", "sum_billed")).withColumn("tol", tolerance(F.col("stated"), F.col("summed")))
     gap = F.abs(F.col("billed") - F.col("insurance") - F.col("adjustments") - F.col("balance"))
-    per = lines.groupBy(key).agg(F.count("*").alias("n_lines"), *[F.sum(c).cast(MONEY).alias(f"sum_{c}") for c in FOUR], F.filter(F.collect_list(F.when(gap > F.lit("0.01").cast(MONEY), gap)), lambda x: x.isNotNull()).alias("gaps"))
-    t = stated.select(key, "stated").join(per, key, "left")
-    summed = F.coalesce(F.col("sum_balance"), F.col("sum_billed"))
-    tol = tolerance(F.col("stated"), summed)
-    checked = F.col("stated").isNotNull() & summed.isNotNull()
-    bad = F.coalesce(F.size(F.filter("gaps", lambda g: g > F.col("tol"))), F.lit(0))
-    t = t.withColumn("summed", summed).withColumn("tol", tol).withColumn("violations", bad).withColumn("checked", checked)
+    gaps = lines.select(key, gap.alias("gap")).where(F.col("gap") > F.lit("0.01").cast("decimal(4,2)"))
+    bad = gaps.join(t.select(key, "tol"), key).where("gap > tol").groupBy(key).agg(F.count("*").alias("violations"))
+    t = t.join(bad, key, "left").withColumn("violations", F.coalesce("violations", F.lit(0))).withColumn("checked", F.col("stated").isNotNull() & F.col("summed").isNotNull())
     own = F.greatest(F.col("stated") * F.lit("0.02").cast("decimal(4,2)"), F.lit("0.01").cast("decimal(4,2)"))
     parts = F.col("sum_billed") - F.col("sum_insurance") - F.col("sum_adjustments")
     ok = (F.abs(F.col("stated") - F.col("summed")) <= own) & F.coalesce(F.abs(parts - F.col("sum_balance")) <= own, F.lit(True)) & (F.col("violations") == 0)

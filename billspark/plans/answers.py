@@ -30,14 +30,13 @@ def _claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     answer = F.coalesce(*[F.nullif(C.normalized(F.col(c)), F.lit("")) for c in ("agent_final_response", "agent_initial_response")])
     said = [F.when(~C.is_empty(F.col(c)), F.col(c)) for c in ("patient_input", "patient_followup")]
     t = r.select("review_id", F.col("bill_doc_file").alias("bill_file"), answer.alias("answer"), F.concat_ws(" ", *said).alias("said")).where("answer is not null")
-    return t, grounding.claimed(t, "review_id", "answer")
+    return t, grounding.claimed(t, "review_id", "answer", "bill_file")
 
 
 def _ungrounded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t, claims = _claims(spark, d)
     by_bill = grounding.known_of_bills(bills(spark, d, "bill_file", "summary_of_services", "total_amount_due"), "bill_file")
-    with_bill = claims.join(t.select("review_id", "bill_file"), "review_id")
-    rest = grounding.ungrounded(with_bill, by_bill, "bill_file")
+    rest = grounding.ungrounded(claims, by_bill, "bill_file")
     return t, grounding.ungrounded(rest, grounding.claimed(t, "review_id", "said"), "review_id").select("review_id", "kind", "value")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from billspark.functions import columns as C
 from billspark.operators import ledger, nested
-from billspark.session import table
+from billspark.session import spread, table
 
 
 def bills(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -59,7 +59,7 @@ def amount_owed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax")
+    li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax"))
     billed = F.col("l_extendedprice").cast("decimal(18,2)")
     part = lambda c: (billed * F.col(c).cast("decimal(4,2)")).cast("decimal(18,2)")
     lines = li.select(F.col("l_orderkey").alias("bill_id"), F.col("l_linenumber").cast("bigint").alias("item_no"), billed.alias("billed"), part("l_discount").alias("insurance"), part("l_tax").alias("adjustments"))
