@@ -166,6 +166,30 @@ def _renames(facts: DataFrame, gone: DataFrame, come: DataFrame, min_overlap: fl
     return scored.withColumn("i", F.row_number().over(w_old)).withColumn("j", F.row_number().over(w_new)).where("i = 1 and j = 1").select("feed", "to_no", "old_path", "new_path")
 
 
+def rename_groups(changes: DataFrame, most: int = 10_000) -> list[set[str]]:
+    """Paths that renames connect, over all feeds. The different pairs of names, ``most`` at most, come to the driver."""
+    pairs = changes.where("change_kind = 'renamed'").select("old_path", "field_path").distinct().limit(most + 1).collect()
+    if len(pairs) > most:
+        raise ValueError(f"more than {most} different renames")
+    group: dict[str, set[str]] = {}
+    for old, new in pairs:
+        merged = group.get(old, {old}) | group.get(new, {new})
+        for p in merged:
+            group[p] = merged
+    return list({id(g): g for g in group.values()}.values())
+
+
+def with_aliases(target: dict[str, tuple[str, str]], groups: Iterable[set[str]]) -> dict[str, tuple[str, list[str]]]:
+    """A target of (type, path) as one of (type, paths): its own path first, then the names it went under.
+
+    Names that several columns of the target would claim stay with none of them and are rescued.
+    """
+    names = {c: {p, *(x for g in groups if p in g for x in g)} for c, (_, p) in target.items()}
+    own = {p for _, p in target.values()}
+    once = {x for c in names for x in names[c] if sum(x in n for n in names.values()) == 1}
+    return {c: (kind, [p, *sorted((names[c] & once) - own)]) for c, (kind, p) in target.items()}
+
+
 def rescue_ingest(df: DataFrame, target: dict[str, tuple[str, Sequence[str]]], payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
     """Payloads as typed columns, with what doesn't fit in ``_rescued``.
 

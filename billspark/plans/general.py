@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from billspark.operators import drift, nested
 from billspark.session import materialize, spread, table
 
-CASE_TARGET = {
-    "case_id": ("string", ["case_id", "caseId", "CaseID", "case_key"]),
-    "category": ("string", ["category"]),
-    "modality": ("string", ["modality", "input_mode", "input_modality", "mode"]),
-    "insurance_type": ("string", ["insurance_type", "insurer"]),
-    "annual_income_usd": ("decimal(18,2)", ["annual_income_usd", "annual_income", "income"]),
-    "amount_owed_usd": ("decimal(18,2)", ["amount_owed_usd"]),
-    "household_size": ("int", ["household_size"]),
-}
+#: The consistent table of each kind of record: a column's type and the path that it has by its schema.
+TARGETS = {
+    "case": {
+        "case_id": ("string", "case_id"), "category": ("string", "category"), "modality": ("string", "modality"), "scenario": ("string", "scenario"), "insurance_type": ("string", "insurance_type"), "payer": ("string", "payer"), "document_type": ("string", "document_type"),
+        "household_size": ("int", "household_size"), "annual_income_usd": ("decimal(18,2)", "annual_income_usd"), "amount_owed_usd": ("decimal(18,2)", "amount_owed_usd"), "fpl_percentage": ("double", "fpl_percentage"), "bill_doc_file": ("string", "bill_doc_file"),
+    },
+    "bill": {
+        "schema_version": ("string", "_schema_version"), "statement_date": ("string", "statement_date"), "due_date": ("string", "due_date"), "facility_name": ("string", "facility.name"), "facility_npi": ("string", "facility.npi"), "patient_name": ("string", "patient.patient_name"),
+        "patient_account_number": ("string", "patient.patient_account_number"), "service_date": ("string", "patient.service_date"), "guarantor_name": ("string", "guarantor.guarantor_name"), "insurance_primary": ("string", "insurance.primary"), "total_amount_due": ("decimal(18,2)", "total_amount_due"),
+    },
+    "review": {
+        "case_id": ("string", "case_id"), "modality": ("string", "modality"), "scenario": ("string", "scenario"), "reviewer": ("string", "reviewer"), "overall_pass": ("boolean", "overall_pass"), "hallucination_present": ("boolean", "hallucination_present"),
+        "semantic_correctness_score": ("double", "semantic_correctness_score_0_1"), "text_differentiation_score": ("double", "text_differentiation_score_1_5"), "initial_prompt": ("string", "agent_initial_prompt"), "initial_response": ("string", "agent_initial_response"),
+    },
+}
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,19 +39,36 @@ def p2_components(spark: SparkSession, d: str) -> DataFrame:
     return t["summary_of_services.line_items.components"].select("parent_key", "row_key", F.element_at("ordinals", 1).alias("item_no"), F.element_at("ordinals", 2).alias("component_no"), "component_name", "code", F.col("amount").cast("double").alias("amount"))
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    facts = materialize(drift.flatten_payloads(spread(table(spark, d, "raw_records").select("feed", "file_no", "record_id", "payload"))), "p3-facts")
+def _changes(raw: DataFrame) -> DataFrame:
+    facts = materialize(drift.flatten_payloads(spread(raw.select("feed", "file_no", "record_id", "payload"))), "p3-facts")
     return drift.schema_changes(facts)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _changes(table(spark, d, "raw_records"))
+
+
+def _consistent(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """The records of one kind in one table, under whatever names their fields came."""
+    raw = table(spark, d, "raw_records").where(F.col("feed").startswith(kind))
+    target = drift.with_aliases(TARGETS[kind], drift.rename_groups(_changes(raw)))
+    return drift.rescue_ingest(spread(raw), target, keep=["record_id", "feed", "file_no"])
+
+
 def p3_cases(spark: SparkSession, d: str) -> DataFrame:
-    """The consistent table of case records; ``plan_type`` is promoted from what was rescued."""
-    raw = spread(table(spark, d, "raw_records").where(F.col("feed").startswith("case")))
-    t = drift.rescue_ingest(raw, CASE_TARGET, keep=["record_id", "feed", "file_no"])
-    return drift.promote(t, "plan_type", "string", "plan_type").where("_valid").drop("_valid")
+    """Case records; ``plan_type`` is approved and promoted from what was rescued."""
+    return drift.promote(_consistent(spark, d, "case"), "plan_type", "string", "plan_type")
+
+
+def p3_bills(spark: SparkSession, d: str) -> DataFrame:
+    return _consistent(spark, d, "bill")
+
+
+def p3_reviews(spark: SparkSession, d: str) -> DataFrame:
+    return _consistent(spark, d, "review")
 
 
-QUERIES = {"p2_found": p2_found, "p2_line_items": p2_line_items, "p2_components": p2_components, "p3_found": p3_found, "p3_cases": p3_cases}
+QUERIES = {"p2_found": p2_found, "p2_line_items": p2_line_items, "p2_components": p2_components, "p3_found": p3_found, "p3_cases": p3_cases, "p3_bills": p3_bills, "p3_reviews": p3_reviews}
 
 _BILLS = "(SELECT * FROM bills QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY loaded_at DESC NULLS LAST) = 1)"
 

@@ -74,3 +74,24 @@ def test_rescue_and_promote(spark):
     assert not got[3]["_valid"] and json.loads(got[3]["_rescued"]) == {"$raw": ["{"]} and not got[4]["_valid"] and got[5]["_rescued"] is None
     p = {r["n"]: r for r in drift.promote(drift.promote(t, "plan", "string", "plan"), "deep_x", "int", "deep.x").collect()}
     assert p[1]["plan"] == "p" and p[1]["deep_x"] == 1 and p[1]["_rescued"] is None and p[2]["plan"] is None and json.loads(p[2]["_rescued"]) == {"size": ["many"]}
+
+
+def test_aliases_of_renames(spark):
+    c = spark.createDataFrame([("f", 2, "b", "renamed", "a"), ("f", 3, "c", "renamed", "b"), ("g", 2, "y", "renamed", "x"), ("g", 3, "y", "renamed", "z"), ("g", 3, "q", "added", "")], "feed string, file_no int, field_path string, change_kind string, old_path string")
+    groups = drift.rename_groups(c)
+    assert sorted(map(sorted, groups)) == [["a", "b", "c"], ["x", "y", "z"]]
+    got = drift.with_aliases({"one": ("int", "a"), "two": ("int", "x"), "three": ("int", "z"), "four": ("int", "new")}, groups)
+    assert got == {"one": ("int", ["a", "b", "c"]), "two": ("int", ["x"]), "three": ("int", ["z"]), "four": ("int", ["new"])}
+    with pytest.raises(ValueError):
+        drift.rename_groups(c, most=1)
+
+
+def test_queries_keep_every_record(spark, sf):
+    from billspark.plans import general
+
+    raw = spark.read.parquet(f"{sf}/raw_records.parquet")
+    for name, kind in (("p3_cases", "case"), ("p3_bills", "bill"), ("p3_reviews", "review")):
+        t = general.QUERIES[name](spark, sf)
+        assert t.count() == raw.where(raw.feed.startswith(kind)).count() and t.where("_valid").count() > 0
+        key = "case_id" if kind != "bill" else "statement_date"
+        assert t.where(f"_valid and {key} is null").count() <= 0.2 * t.count()

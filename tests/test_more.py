@@ -54,3 +54,15 @@ def test_signals(spark):
     li = spark.createDataFrame([(1, 1, "Agency assessment", "c", D(1), None, None, D(1)), (1, 2, "Agency assessment", "c", D(1), None, None, D(1))], "bill_id long, item_no long, service_name string, code string, billed decimal(18,2), insurance decimal(18,2), adjustments decimal(18,2), balance decimal(18,2)")
     got = {r["bill_id"]: tuple(r)[1:] for r in ledger.bill_signals(b, li).collect()}
     assert got == {1: (True, True, True, True), 2: (False, True, False, False), 3: (False, False, False, False)}
+
+
+def test_windowed_counts(spark, tmp_path):
+    from billspark.streaming import ingest
+
+    rows = [("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 00:50:00"), ("b", "2024-01-01 01:05:00"), ("a", "2024-01-01 05:00:00")]
+    df = spark.createDataFrame(rows, "k string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = ingest.windowed_counts(ingest.read_arrivals(spark, str(tmp_path / "in"), df.schema), "at", "k")
+    q = s.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(120)
+    assert sorted((r["k"], r["n"]) for r in spark.table("windows").collect()) == [("a", 1), ("a", 2), ("b", 1)]
