@@ -128,11 +128,15 @@ class Finder:
         for m in _PHONE.finditer(text):
             if _digits(m.group()) not in self.not_personal.phones and not self._other_number(low, m.start()):
                 found.append((m.start(), m.end(), "phone"))
-        hidden += [(a, b) for a, b, _ in found]
-        self._names(text, low, cued, name_kind, found, hidden)
+        covered = bytearray(len(text))
+        for a, b, *_ in hidden + found:
+            covered[a:b] = b"\1" * (b - a)
+        self._names(text, low, cued, name_kind, found, covered)
         kept: list[tuple[int, int, str]] = []
-        for p in sorted(found, key=lambda p: (KINDS.index(p[2]), p[0] - p[1])):
-            if all(p[1] <= a or b <= p[0] for a, b, _ in kept):
+        taken = bytearray(len(text))
+        for p in sorted(found, key=lambda p: (KINDS.index(p[2]), p[0] - p[1], p[0])):
+            if taken.find(1, p[0], p[1]) < 0:
+                taken[p[0] : p[1]] = b"\1" * (p[1] - p[0])
                 kept.append(p)
         return sorted(kept)
 
@@ -143,8 +147,10 @@ class Finder:
 
     def _email(self, text: str, low: str, cue: str, start: int, end: int, found: list, hidden: list) -> None:
         written = cue not in ("@", "＠")
-        left = text[:start].rstrip(" ") if written or text[start - 1 : start] == " " else text[:start]
-        m = _LOCAL.search(left[-80:])
+        stop = start
+        while stop and text[stop - 1] == " " and start - stop < (8 if written else 1):
+            stop -= 1
+        m = _LOCAL.search(text[max(0, stop - 80) : stop])
         if not m or not any(c.isalnum() for c in m.group()):
             return
         local = m.group().lstrip(".'-+%")
@@ -154,7 +160,7 @@ class Finder:
         if cue == " at " and not re.search(r"\bdot\b", right.group(1), re.I):
             return
         domain = _DOT.sub(".", right.group(1)).replace(" ", "").lower()
-        at = len(left) - len(local)
+        at = stop - len(local)
         if domain in self.not_personal.domains or any(domain.endswith("." + d) for d in self.not_personal.domains):
             hidden.append((at, right.end()))
         else:
@@ -187,10 +193,10 @@ class Finder:
         elif len(m.group(1)) >= 2 or stop > end:
             found.append((at, stop, "street_address"))
 
-    def _names(self, text: str, low: str, cued: set[int], name_kind: Callable[[str], str | None], found: list, hidden: list) -> None:
+    def _names(self, text: str, low: str, cued: set[int], name_kind: Callable[[str], str | None], found: list, covered: bytearray) -> None:
         words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
         kinds = [name_kind(low[a:b].removesuffix("'s").removesuffix("’s")) if b - a > 1 else None for a, b in words]
-        free = [not any(a < y and x < b for x, y in hidden) for a, b in words]
+        free = [covered.find(1, a, b) < 0 for a, b in words]
         i = 0
         while i < len(words):
             a, b = words[i]
@@ -215,11 +221,13 @@ class Finder:
 
     @staticmethod
     def _cue_before(cued: set[int], text: str, at: int, low: str | None = None) -> bool:
-        end = len(text[:at].rstrip())
+        end = at
+        while end and text[end - 1].isspace():
+            end -= 1
         if end not in cued:
             return False
         # of words that the lexicon lacks, only those after the plainest cues are taken for names
-        return low is None or low[:end].endswith(("my name is", "i spoke with"))
+        return low is None or low[max(0, end - 12) : end].endswith(("my name is", "i spoke with"))
 
 
 def lexicon_of(names: DataFrame, column: str) -> DataFrame:

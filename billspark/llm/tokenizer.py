@@ -32,7 +32,10 @@ class MergeAutomaton:
 
     def __init__(self, ranks: dict[bytes, int], memo_size: int = 100_000):
         self.ranks, self.labels = ranks, {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
+        #: Length of the longest token with each two first bytes.
+        self.longest: dict[bytes, int] = {}
+        for t in ranks:
+            self.longest[t[:2]] = max(len(t), self.longest.get(t[:2], 0))
         self.memo: dict[str, list[int]] = {}
         self.memo_size = memo_size
         self.merge: dict[tuple[int, int], int] = {}
@@ -70,7 +73,8 @@ class MergeAutomaton:
         ranks, n = self.ranks, len(word)
         path: list[int] = []
         starts: list[int] = [0]
-        sizes: list[int] = [min(n, self.longest)]
+        longest = self.longest
+        sizes: list[int] = [min(n, longest.get(word[:2], 1))]
         dead: set[tuple[int, int]] = set()
         while True:
             at = starts[-1]
@@ -88,7 +92,7 @@ class MergeAutomaton:
                 sizes[-1] = size
                 path.append(found)
                 starts.append(at + size)
-                sizes.append(min(n - at - size, self.longest))
+                sizes.append(min(n - at - size, longest.get(word[at + size : at + size + 2], 1)))
                 continue
             if not path:
                 return None

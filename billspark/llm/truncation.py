@@ -172,17 +172,17 @@ def continuations(rows: DataFrame, stems: DataFrame, broadcast_stems: int = 1_00
             for counts, whole in ((closed, True), (open_, False)):
                 for unit, n in counts.items():
                     words = unit.split()
-                    # the hash of a growing prefix, its digits collapsed
-                    prefix = ""
+                    prefix = xxhash.xxh64()  # of a growing prefix, its digits collapsed
                     for k, w in enumerate(words):
-                        h = xxhash.xxh64_intdigest(prefix)
+                        h = prefix.intdigest()
                         h = h - (1 << 64) if h >= 1 << 63 else h
                         if asked is None or h in asked:
                             if k + 1 < len(words):
                                 on[h, w] += n
                             elif whole:
                                 end[h, w.rstrip(".!?…")] += n
-                        prefix = f"{prefix} {_NUMBER.sub('0', w) if '0' in w else w}" if prefix else (_NUMBER.sub("0", w) if "0" in w else w)
+                        w = _NUMBER.sub("0", w) if "0" in w else w
+                        prefix.update(f" {w}" if k else w)
             keys = list(on.keys() | end.keys())
             if keys:
                 yield pd.DataFrame({"stem": [k[0] for k in keys], "next": [k[1] for k in keys], "goes_on": [on[k] for k in keys], "ends": [end[k] for k in keys]})
