@@ -1,8 +1,9 @@
 """Deeply nested records to related flat tables.
 
 ``infer_merged_schema`` merges the shapes of all JSON payloads; ``nested_arrays`` lists the arrays of objects of a
-schema at any depth; ``normalize`` turns each of them into a child table whose rows carry a surrogate key, the key
-of the row they hang from and their ordinals; ``object_links`` gives the key columns of all child tables in one pass.
+schema at any depth; ``explode_levels`` recursively explodes them to rows that carry their record's key, their path and
+their ordinals. ``normalize`` makes of these a child table for each array, whose rows have a surrogate key and the key
+of the row they hang from; ``object_links`` takes the keys of all levels.
 
 Defined results: a null struct or array, and an empty array, has no child rows; a null element keeps its ordinal
 but has no row; a record without the key has the parent key of its content's hash; a record delivered again counts
@@ -77,36 +78,60 @@ def latest_delivery(df: DataFrame, key: str, loaded_at: str | None = None) -> Da
     return keyed.unionByName(df.where(F.col(f"`{key}`").isNull()).select(key, *others)).select(*df.columns)
 
 
+def explode_levels(df: DataFrame, key: str, levels: list[ArrayLevel], content: bool = False) -> DataFrame:
+    """(key, child_path, ordinals, content) of each non-null object in the arrays of ``levels``, from one scan.
+
+    An array is gone through with its places; the objects in it become rows, and the arrays inside each object are
+    gone through in turn with the places of the objects above. ``ordinals`` holds the places from the outermost array
+    inwards, from 1, null elements counted. With ``content`` there is a struct with a field for each level, ``_0``,
+    ``_1`` and so on, of which the row's own is filled.
+    """
+    wanted = {x.path: i for i, x in enumerate(levels)}
+    known = {x.path: x for x in nested_arrays(df.schema)}
+    fields = [T.StructField("child_path", T.StringType()), T.StructField("ordinals", T.ArrayType(T.LongType()))]
+    if content:
+        fields.append(T.StructField("content", T.StructType([T.StructField(f"_{i}", x.element) for i, x in enumerate(levels)])))
+    empty = F.array().cast(T.ArrayType(T.StructType(fields)))
+
+    def row(path: str, x: Column, places: list[Column]) -> Column:
+        fields = [F.lit(path).alias("child_path"), F.array(*places).alias("ordinals")]
+        if content:
+            fields.append(F.struct(*[(x if i == wanted[path] else F.lit(None)).cast(v.element).alias(f"_{i}") for i, v in enumerate(levels)]).alias("content"))
+        return F.struct(*fields)
+
+    def leads(path: str) -> bool:
+        return any(w == path or path in known[w].above for w in wanted)
+
+    def below(array: Column, path: str, places: list[Column]) -> Column:
+        parts = []
+        if path in wanted:
+            own = F.transform(array, lambda x, i: F.when(x.isNotNull(), row(path, x, [*places, (i + 1).cast("bigint")])))
+            parts.append(F.filter(own, lambda x: x.isNotNull()))
+        for inner in known.values():
+            if inner.above and inner.above[-1] == path and leads(inner.path):
+                step = inner.path[len(path) + 1 :]
+                parts.append(F.flatten(F.transform(array, lambda x, i: F.coalesce(below(_get(x, step), inner.path, [*places, (i + 1).cast("bigint")]), empty))))
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+    tops = [x for x in known.values() if not x.above and leads(x.path)]
+    if not tops:
+        return df.select(F.col(f"`{key}`").alias(key), F.inline(empty))
+    rows = [F.coalesce(below(_get(None, x.path), x.path, []), empty) for x in tops]
+    per = df.select(F.col(f"`{key}`").alias(key), (F.concat(*rows) if len(rows) > 1 else rows[0]).alias("_rows"))
+    # the outer form, since Spark would otherwise evaluate every row a second time to filter empty arrays first
+    return per.select(key, F.inline_outer("_rows")).where("child_path is not null")
+
+
 def object_links(df: DataFrame, key: str) -> DataFrame:
     """(key, child_path, child_no, sub_no) of each non-null object in the arrays of objects of ``df``, once per key.
 
-    All levels come out of one scan: each row makes an array of links, which is inlined. Only whether objects are
-    null is read, and repeated deliveries fall together in the partial aggregate before the one shuffle. ``child_no``
-    is the place in the outermost array and ``sub_no`` in the array below it, 0 where there is none. Arrays more
-    than two levels deep number their rows by the two innermost places.
+    The keys of all child tables from one scan; repeated deliveries fall together in the partial aggregate before the
+    one shuffle. ``child_no`` is the place in the outermost array and ``sub_no`` in the array below it, 0 where there
+    is none; arrays more than two levels deep are numbered by the outermost and the innermost place.
     """
-    def links(level: ArrayLevel) -> Column:
-        path = F.lit(level.path)
-        empty = F.expr("cast(array() as array<struct<child_path:string,child_no:bigint,sub_no:bigint>>)")
-
-        def below(arr: Column, chain: list[str], outer: Column) -> Column:
-            if not chain:
-                return F.filter(
-                    F.transform(arr, lambda x, i: F.when(x.isNotNull(), F.struct(path.alias("child_path"), F.when(outer == 0, i + 1).otherwise(outer).cast("bigint").alias("child_no"), F.when(outer == 0, 0).otherwise(i + 1).cast("bigint").alias("sub_no")))),
-                    lambda x: x.isNotNull(),
-                )
-            return F.flatten(F.transform(arr, lambda x, i: F.coalesce(below(_get(x, chain[0]), chain[1:], (i + 1).cast("bigint")), empty)))
-
-        chain = [*level.above, level.path]
-        steps = [chain[0]] + [b[len(a) + 1 :] for a, b in zip(chain, chain[1:])]
-        return F.coalesce(below(_get(None, steps[0]), steps[1:], F.lit(0).cast("bigint")), empty)
-
-    levels = nested_arrays(df.schema)
-    if not levels:
-        return df.select(F.col(f"`{key}`"), F.lit("").alias("child_path"), F.lit(0).cast("bigint").alias("child_no"), F.lit(0).cast("bigint").alias("sub_no")).limit(0)
-    per = df.select(F.col(f"`{key}`").alias(key), F.concat(*[links(x) for x in levels]).alias("_links"))
-    # the outer form, since Spark would otherwise evaluate every link a second time to filter empty arrays first
-    return per.select(key, F.inline_outer("_links")).where("child_path is not null").distinct()
+    rows = explode_levels(df, key, nested_arrays(df.schema))
+    deep = F.size("ordinals") > 1
+    return rows.select(key, "child_path", F.element_at("ordinals", 1).alias("child_no"), F.when(deep, F.element_at("ordinals", -1)).otherwise(F.lit(0).cast("bigint")).alias("sub_no")).distinct()
 
 
 def normalize(df: DataFrame, key: str, loaded_at: str | None = None) -> dict[str, DataFrame]:
@@ -121,22 +146,11 @@ def normalize(df: DataFrame, key: str, loaded_at: str | None = None) -> dict[str
     content = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in parent_cols]) if parent_cols else F.lit(0)
     keyed = base.withColumn("_row_key", F.coalesce(F.col(f"`{key}`").cast("string"), F.concat(F.lit("#"), content.cast("string"))))
     tables = {"": keyed.select(F.col("_row_key").alias("row_key"), *_leaves(df.schema, None))}
-    frames: dict[str, DataFrame] = {}
+    name = lambda places: F.concat_ws("/", F.col("_row_key"), F.transform(places, lambda i: i.cast("string")))
     for level in nested_arrays(df.schema):
-        if level.above:
-            up = frames[level.above[-1]]
-            arr = F.col("_x").getField(level.path[len(level.above[-1]) + 1 :].split(".")[0])
-            for p in level.path[len(level.above[-1]) + 1 :].split(".")[1:]:
-                arr = arr.getField(p)
-            rows = up.select(F.col("_row_key").alias("_parent"), F.col("_ord").alias("_above"), F.posexplode(arr).alias("_i", "_x"))
-        else:
-            rows = keyed.select(F.col("_row_key").alias("_parent"), F.expr("cast(array() as array<bigint>)").alias("_above"), F.posexplode(_get(None, level.path)).alias("_i", "_x"))
-        rows = rows.where(F.col("_x").isNotNull()).select(
-            "_parent", F.concat(F.col("_above"), F.array((F.col("_i") + 1).cast("bigint"))).alias("_ord"),
-            F.concat_ws("/", F.col("_parent"), (F.col("_i") + 1).cast("string")).alias("_row_key"), "_x",
-        )
-        frames[level.path] = rows
-        tables[level.path] = rows.select(F.col("_parent").alias("parent_key"), F.col("_row_key").alias("row_key"), F.col("_ord").alias("ordinals"), *_leaves(level.element, F.col("_x")))
+        rows = explode_levels(keyed, "_row_key", [level], content=True)
+        above = F.slice("ordinals", F.lit(1), F.size("ordinals") - 1)
+        tables[level.path] = rows.select(name(above).alias("parent_key"), name(F.col("ordinals")).alias("row_key"), "ordinals", *_leaves(level.element, F.col("content").getField("_0")))
     return tables
 
 
