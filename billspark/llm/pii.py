@@ -4,7 +4,7 @@ One pass of an Aho-Corasick automaton finds the cues (at-signs and their written
 types, words that introduce a name, and the names of facilities). A deterministic parser then expands each cue to
 the boundaries of an e-mail address, identity number or street address and validates it. Telephone numbers and
 identity numbers of fixed shape anchor themselves by their digits. Names are words of a lexicon, here those of
-patients and guarantors in the bills, read in context.
+patients and guarantors in the bills, read in context; words that it lacks are names in a few plain frames.
 
 Defined results: null and blank texts have no places; overlapping places keep the first kind of ``KINDS``, then the
 longer; a text delivered twice gives the same rows twice, ``places`` of a column keep all, the queries count once.
@@ -30,7 +30,13 @@ ID_CUES = {
     "driver's license": "id", "drivers license": "id", "driver’s license": "id", "driver license": "id", "license number": "id", "patient account": "id", "patient acct": "id",
 }
 STREET_TYPES = "street st road rd avenue ave lane ln drive dr court ct boulevard blvd way terrace ter place pl plaza parkway pkwy circle cir trail trl highway hwy square sq loop row".split()
-NAME_CUES = ["my name is", "this is", "regards,", "sincerely,", "i am asking for my partner", "my kid", "nobody told", "thank you,", "i spoke with", "the bill lists"]
+NAME_CUES = ["my name is", "this is", "regards,", "sincerely,", "my partner", "my kid", "nobody told", "thank you,", "i spoke with", "the bill lists"]
+#: Where a capitalised word that the lexicon lacks is taken for a name, and the cues without which none is there.
+FRAME_CUES = ["my name is", "i spoke with", "my partner", "my husband", "my wife", "my kid", "my son", "my daughter", "my mother", "my father", "nobody told", "thank you,", " signed", "bill lists", "here, again", "and i share", " writing", "regards,", "sincerely,", " sign", "is printed", "card says"]
+NAME_FRAMES = [
+    r"\b[Mm]y name is {full}", r"\b[Ii] spoke with {full} at\b", r"\b[Mm]y (?:partner|husband|wife|kid|son|daughter|mother|father) {some}(?=[.,]| was\b| is\b|$)", r"\b[Nn]obody told {one} about\b", r"\bThank you, {one}, for\b", r"\bAs {full} signed\b", r"\b[Tt]he bill lists {one} as guarantor\b",
+    r"(?:^|[.!?]\s+){full} (?:here, again|and I share)\b", r"\b[Tt]his is {full} writing\b", r"\b(?:[Rr]egards|[Ss]incerely), {full}\s*$", r"\bCan {initial} sign\b", r"\b{last_first} is printed\b", r"\bcard says {last_first}",
+]
 NOT_PERSONAL = "claim invoice statement bill billing code cpt hcpcs npi ref reference case ticket box line row check no num number".split()
 _NUMBER_WORDS = "a an the in of my on to for and or from with at by is was are it its that this your our per than".split()
 
@@ -46,6 +52,8 @@ _SSN_VALUE = re.compile(r"[\s:#]*(?:(?:security|number|no\.?|num|is|was)[\s:#]+)
 _HOUSE = re.compile(r"(?<![\w$.,/#-])(\d{1,6})((?: [\w'’.-]+){1,4})$")
 _AFTER_STREET = re.compile(r"\.?(?:,? (?:apt|unit|suite|ste|#)\.? ?#?\w+|,? #\w+)?(?:,? (?:in )?[A-Z][\w'’-]+(?: [A-Z][\w'’-]+){0,2},? [A-Z]{2} \d{5}(?:-\d{4})?|,? [A-Z]{2} \d{5})?", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_CAPITAL = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_FRAMES = re.compile("|".join(f.replace("{full}", f"(?P<n{i}>{_CAPITAL} {_CAPITAL})").replace("{some}", f"(?P<n{i}>{_CAPITAL}(?: {_CAPITAL})?)").replace("{one}", f"(?P<n{i}>{_CAPITAL})").replace("{initial}", f"(?P<n{i}>[A-Z]\\. ?{_CAPITAL})").replace("{last_first}", f"(?P<n{i}>{_CAPITAL}, {_CAPITAL})") for i, f in enumerate(NAME_FRAMES)))
 _PRECEDING = re.compile(r"([a-z]+)[\s.#:]*$", re.I)
 
 
@@ -95,7 +103,7 @@ class Finder:
         self.not_personal = facilities
         self.auto = ahocorasick.Automaton()
         cues: dict[str, list[str]] = {}
-        for kind, words in (("email", EMAIL_CUES), ("id", ID_CUES), ("street", [" " + s for s in STREET_TYPES]), ("name", NAME_CUES), ("facility", facilities.names)):
+        for kind, words in (("email", EMAIL_CUES), ("id", ID_CUES), ("street", [" " + s for s in STREET_TYPES]), ("name", NAME_CUES), ("frame", FRAME_CUES), ("facility", facilities.names)):
             for w in words:
                 cues.setdefault(w, []).append(kind)
         for w, kinds in cues.items():
@@ -109,6 +117,7 @@ class Finder:
         found: list[tuple[int, int, str]] = []
         hidden: list[tuple[int, int]] = []
         cued: set[int] = set()
+        framed = False
         for end, (cue, kinds) in self.auto.iter(low):
             start, end = end - len(cue) + 1, end + 1
             for kind in kinds:
@@ -120,6 +129,8 @@ class Finder:
                     self._street(text, low, start, end, found, hidden)
                 elif kind == "facility":
                     hidden.append((start, end))
+                elif kind == "frame":
+                    framed = True
                 elif start == 0 or not low[start - 1].isalnum():
                     cued.add(end)
         for m in _SHAPES.finditer(text):
@@ -132,6 +143,11 @@ class Finder:
         for a, b, *_ in hidden + found:
             covered[a:b] = b"\1" * (b - a)
         self._names(text, low, cued, name_kind, found, covered)
+        if framed:
+            for m in _FRAMES.finditer(text):
+                x, y = m.span(m.lastgroup)
+                if covered.find(1, x, y) < 0:
+                    found.append((x, y, "person_name"))
         kept: list[tuple[int, int, str]] = []
         taken = bytearray(len(text))
         for p in sorted(found, key=lambda p: (KINDS.index(p[2]), p[0] - p[1], p[0])):
@@ -213,21 +229,14 @@ class Finder:
                 continue
             if k and (text[a].isupper() or self._cue_before(cued, text, a)):
                 found.append((a, b, "person_name"))
-            elif not k and free[i] and text[a].isupper() and nxt and between == " " and text[words[i + 1][0]].isupper() and self._cue_before(cued, text, a, low) and not text[a:b].isupper():
-                found.append((a, words[i + 1][1], "person_name"))
-                i += 2
-                continue
             i += 1
 
     @staticmethod
-    def _cue_before(cued: set[int], text: str, at: int, low: str | None = None) -> bool:
+    def _cue_before(cued: set[int], text: str, at: int) -> bool:
         end = at
         while end and text[end - 1].isspace():
             end -= 1
-        if end not in cued:
-            return False
-        # of words that the lexicon lacks, only those after the plainest cues are taken for names
-        return low is None or low[max(0, end - 12) : end].endswith(("my name is", "i spoke with"))
+        return end in cued
 
 
 def lexicon_of(names: DataFrame, column: str) -> DataFrame:

@@ -20,6 +20,7 @@ def kinds(text):
     ("driver's license K283651-29", [("K283651-29", "identity_number")]), ("patient account PA-2024-00001", [("PA-2024-00001", "identity_number")]), ("what is my patient account number?", []), ("social media posts", []),
     ("I live at 12 Alder Hollow Rd #12, Port Vashna, MT 94888 now", [("12 Alder Hollow Rd #12, Port Vashna, MT 94888", "street_address")]), ("moved to 816 blue heron avenue, unit 7", [("816 blue heron avenue, unit 7", "street_address")]), ("Mail to 1906 Sparrow Parkway, Mirrow, NV 91449 or P.O. Box 4430", []), ("I have 20 bills in the way", []),
     ("Gisela Lindström called", [("Gisela Lindström", "person_name")]), ("DUNWICK, OREN is printed", [("DUNWICK, OREN", "person_name")]), ("Can V. Dunwick sign", [("V. Dunwick", "person_name")]), ("Nobody told Oren.", [("Oren", "person_name")]), ("this is oren dunwick writing", [("oren dunwick", "person_name")]), ("My name is Zed Unknown.", [("Zed Unknown", "person_name")]),
+    ("Thank you, Zed, for the details. UNKNOWN, ZED is printed", [("Zed", "person_name"), ("UNKNOWN, ZED", "person_name")]), ("Zed Unknown here, again. Can Z. Unknown sign", [("Zed Unknown", "person_name"), ("Z. Unknown", "person_name")]), ("Thank you, and this is the letter. Nobody told me about it. Regards, the office", []),
     ("Corvane Medical Center", []), ("oren.dunwick@mail.example", [("oren.dunwick@mail.example", "email")]), ("", []), (None, []), ("   ", []),
 ])
 def test_places(text, want):
