@@ -9,6 +9,9 @@ from billspark.llm import leakage, lookalike, pairs, pii, tokenizer, truncation
 from billspark.session import spread, table
 
 
+PAIR_FIELDS = ("agent_initial_prompt", "agent_initial_response", "agent_followup_prompt", "agent_followup_response")
+
+
 def _stored_texts(reviews: DataFrame) -> DataFrame:
     """The two stored answers, each with the field that may hold the same text whole."""
     follow = F.col("agent_followup_response")
@@ -20,7 +23,7 @@ def _stored_texts(reviews: DataFrame) -> DataFrame:
 
 
 def p1_texts(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.truncation_posterior(_stored_texts(spread(table(spark, d, "reviews"))))
+    return truncation.truncation_posterior(_stored_texts(spread(table(spark, d, "reviews").select("review_id", "run_file", *PAIR_FIELDS, "agent_final_response"))))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +37,7 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    reviews = spread(table(spark, d, "reviews"))
+    reviews = spread(table(spark, d, "reviews").select("review_id", "run_file", *PAIR_FIELDS, "agent_final_response"))
     final, follow = F.col("agent_final_response"), F.col("agent_followup_response")
     no_follow = truncation.is_placeholder(F.coalesce(follow, F.lit("")))
     entry = lambda name, text, sibling, prompt: F.struct(F.lit(name).alias("field"), text.alias("text"), sibling.alias("sibling"), F.col(prompt).alias("prompt"))
