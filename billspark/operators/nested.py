@@ -65,17 +65,16 @@ def _get(base: Column | None, dotted: str) -> Column:
 def latest_delivery(df: DataFrame, key: str, loaded_at: str | None = None) -> DataFrame:
     """One row for each key: the last delivery where ``loaded_at`` is given, otherwise any of the equal ones.
 
-    Rows without the key are all kept. An aggregate with partial results before the shuffle, so that a key that is
-    delivered very often does not gather in one task.
+    Rows without the key are kept, wholly equal ones once. One scan and an aggregate with partial results before the
+    shuffle, so that a key that is delivered very often does not gather in one task.
     """
     others = [c for c in df.columns if c != key]
     if not others:
         return df.distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in others])
-    order = F.col(f"`{loaded_at}`") if loaded_at else F.lit(0)
-    keyed = df.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_k")).agg(F.max_by(row, F.coalesce(order.cast("string"), F.lit(""))).alias("_r"))
-    keyed = keyed.select(F.col("_k").alias(key), *[F.col("_r").getField(c).alias(c) for c in others])
-    return keyed.unionByName(df.where(F.col(f"`{key}`").isNull()).select(key, *others)).select(*df.columns)
+    order = F.col(f"`{loaded_at}`").cast("string") if loaded_at else F.lit("")
+    g = df.groupBy(F.col(f"`{key}`").alias("_k"), F.when(F.col(f"`{key}`").isNull(), row).alias("_lone")).agg(F.max_by(row, F.coalesce(order, F.lit(""))).alias("_r"))
+    return g.select(*[F.col("_k").alias(c) if c == key else F.col("_r").getField(c).alias(c) for c in df.columns])
 
 
 def explode_levels(df: DataFrame, key: str, levels: list[ArrayLevel], content: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ def redact_reviews(spark: SparkSession, d: str) -> DataFrame:
 
 
 def content_filter(spark: SparkSession, d: str) -> DataFrame:
-    return privacy.blocked_terms(spread(table(spark, d, "documents")), "doc_id", "text")
+    return privacy.blocked_terms(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +111,7 @@ def tool_call_assembly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_texts(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents")).select("doc_id", history.clean_text(F.col("text")).alias("cleaned"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", history.clean_text(F.col("text")).alias("cleaned"))
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:

@@ -54,8 +54,8 @@ def test_empty_table_and_no_arrays(spark):
 
 
 def test_latest_delivery(spark):
-    df = spark.createDataFrame([(1, "a", "1"), (1, "b", "2"), (None, "c", "1"), (None, "c", "1"), (2, None, None)], "k int, v string, t string")
-    assert sorted((r["k"] or 0, r["v"]) for r in nested.latest_delivery(df, "k", "t").collect() if r["v"]) == [(0, "c"), (0, "c"), (1, "b")]
+    df = spark.createDataFrame([(1, "a", "1"), (1, "b", "2"), (None, "c", "1"), (None, "c", "1"), (None, "d", None), (2, None, None)], "k int, v string, t string")
+    assert sorted((r["k"] or 0, r["v"]) for r in nested.latest_delivery(df, "k", "t").collect() if r["v"]) == [(0, "c"), (0, "d"), (1, "b")]
     assert nested.latest_delivery(df, "k", "t").where("k = 2").count() == 1
 
 
