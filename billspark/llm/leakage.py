@@ -67,7 +67,7 @@ def myers(a: Sequence[int], b: Sequence[int]) -> int:
 class ItemIndex:
     """Pieces of a bounded set of items; see the module for the parameters."""
 
-    def __init__(self, items: Iterable[tuple[int, str | None]], passage: int = 20, errors: int = 5, shared: int = 12, common: float = 0.02):
+    def __init__(self, items: Iterable[tuple[int, str | None]], passage: int = 20, errors: int = 5, shared: int = 12):
         self.size = max(1, passage // (errors + 1))
         self.vocabulary: dict[str, int] = {}
         self.items: dict[int, list[int]] = {}
@@ -80,22 +80,17 @@ class ItemIndex:
             self.equal[first.setdefault(tuple(ids), i)].append(i)
         self.items = {i: self.items[i] for i in self.equal}
         runs = Counter(g for ids in map(tuple, self.items.values()) for g in {ids[k : k + shared] for k in range(len(ids) - shared + 1)})
-        self.own: dict[int, list[bool]] = {}
         self.pieces: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for i, ids in self.items.items():
             own = [True] * len(ids)
             for k in range(len(ids) - shared + 1):
                 if runs[tuple(ids[k : k + shared])] > 1:
                     own[k : k + shared] = [False] * shared
-            self.own[i] = own
             for k in range(len(ids) - self.size + 1):
                 if all(own[k : k + self.size]):
                     self.pieces[tuple(ids[k : k + self.size])].append((i, k))
-        # a phrase of many items is nobody's own wording and anchors nothing
-        most = max(4, common * len(self.items))
-        self.pieces = {g: at for g, at in self.pieces.items() if len({i for i, _ in at}) <= most}
 
-    def kept(self, text: str | None, gap: int = 8, worst: float = 0.45) -> dict[int, int]:
+    def kept(self, text: str | None, gap: int = 8, worst: float = 0.45, few: int = 4) -> dict[int, int]:
         """Words that the document keeps of each item that it touches."""
         get, size = self.vocabulary.get, self.size
         doc = [get(w, -1) for w in words(text)]
@@ -106,7 +101,7 @@ class ItemIndex:
             if found:
                 for i, q in found:
                     hits[i].append((q, p))
-        blocks = {i: self._blocks(self.items[i], doc, sorted(found), gap, worst) for i, found in hits.items()}
+        blocks = {i: self._blocks(i, doc, sorted(found), gap, worst, few) for i, found in hits.items()}
         # words of the document that a better match explains don't count for items of similar wording
         out: dict[int, int] = {}
         taken = bytearray(len(doc))
@@ -120,8 +115,31 @@ class ItemIndex:
                 out |= dict.fromkeys(self.equal[i], total)
         return out
 
-    def _blocks(self, item: list[int], doc: list[int], hits: list[tuple[int, int]], gap: int, worst: float) -> list[tuple[int, int, int]]:
-        size, blocks = self.size, []
+    def _runs(self, hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(place in the item, in the document, words) of the longest runs of hits."""
+        at, out = set(hits), []
+        for q, p in hits:
+            if (q - 1, p - 1) not in at:
+                n = self.size
+                while (q + n - self.size + 1, p + n - self.size + 1) in at:
+                    n += 1
+                out.append((q, p, n))
+        return out
+
+    def _in_few(self, i: int, q: int, n: int, few: int) -> bool:
+        """Whether the ``n`` words of an item at ``q`` stand in ``few`` items at most."""
+        run = self.items[i][q : q + n]
+        at = min((self.pieces[tuple(run[k : k + self.size])] for k in range(n - self.size + 1)), key=len)
+        if len(at) <= few:
+            return True
+        at = self.pieces[tuple(run[: self.size])]
+        return len({j for j, k in at if self.items[j][k : k + n] == run}) <= few
+
+    def _blocks(self, i: int, doc: list[int], hits: list[tuple[int, int]], gap: int, worst: float, few: int) -> list[tuple[int, int, int]]:
+        item, size, blocks = self.items[i], self.size, []
+        runs = self._runs(hits)
+        # a block counts if a run in it stands in few items: phrases of many come together by chance
+        own = {(q + k, p + k) for q, p, n in runs if self._in_few(i, q, n, few) for k in range(n - size + 1)}
         open_: list[list[int]] = []
         for q, p in hits:
             best = None
@@ -131,18 +149,18 @@ class ItemIndex:
                     if best is None or cost < best[0]:
                         best = (cost, b)
             if best:
-                best[1][2:] = [q, p]
+                best[1][2:] = [q, p, best[1][4] or (q, p) in own]
             else:
-                open_.append([q, p, q, p])
+                open_.append([q, p, q, p, (q, p) in own])
             for b in open_:
                 if q - b[2] > gap + size:
                     blocks.append(b)
             open_ = [b for b in open_ if q - b[2] <= gap + size]
         kept: list[tuple[int, int, int, int, int]] = []
-        for q0, p0, q1, p1 in blocks + open_:
+        for q0, p0, q1, p1, anchored in blocks + open_:
             a, b = item[q0 : q1 + size], doc[p0 : p1 + size]
             distance = myers(a, b)
-            if distance <= worst * max(len(a), len(b)):
+            if anchored and distance <= worst * max(len(a), len(b)):
                 kept.append((q0, q1 + size, max(len(a), len(b)) - distance, p0, p1 + size))
         # blocks of the same part of the item count once
         out, end = [], 0

@@ -78,3 +78,19 @@ def test_equal_items_nulls_empty(spark):
 
 def test_long_document(spark):
     assert found(spark, [(1, f"{FILL} " * 20_000 + " ".join(ITEMS[3][1].split()[:30]))]) == {(1, 3)}
+
+
+def test_pieces_of_many_items():
+    R = random.Random(5)
+    a, b, c = (R.sample(WORDS, 20) for _ in range(3))
+    both = [f"{a[2 * k]} {a[2 * k + 1]} {b[k]}" for k in range(8)]
+    items = [(1, " ".join(both + c))] + [(10 + 8 * j + k, f"x{chr(97 + j)}{chr(97 + k)} {both[k]} y{chr(97 + j)}{chr(97 + k)} " * 8) for j in range(6) for k in range(8)]
+    index = L.ItemIndex(items)
+    assert index.kept(" ".join(both)).get(1, 0) >= 20
+    assert index.kept(" zz zz zz zz zz zz zz zz zz ".join(both)).get(1, 0) < 13
+
+
+def test_few_is_no_share_of_the_items():
+    w = ITEMS[0][1].split()[:30]
+    items = [(1, " ".join(w))] + [(10 + k, f"{' '.join(w[3 * k % 27 : 3 * k % 27 + 3])} {' '.join(f'q{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + j)}' for j in range(20))}") for k in range(60)]
+    assert L.ItemIndex(items).kept(" ".join(w[:9] + ["zz"] * 12 + w[12:21])).get(1, 0) == 18
