@@ -3,8 +3,9 @@
 A passage of ``passage`` words with up to ``errors`` differing words holds one of ``errors + 1`` pieces unchanged, so
 pieces have ``passage // (errors + 1)`` words. Items are cut into pieces at every word; a document's words are looked
 up against them, hits of one item that follow each other closely are joined to blocks, and of each block the
-distance between item and document words is computed. A document leaks an item when its blocks, in the item's
-order, keep ``least`` words of the item's own wording.
+distance between item and document words is computed. Around each run of hits the best ``passage`` words of the item
+are aligned outwards, so that a passage with up to ``errors`` errors counts to its ends, wherever its intact piece is.
+A document leaks an item when its blocks, in the item's order, keep ``least`` words of the item's own wording.
 
 Words are letters or digits of the consistent form, without case, markup and apostrophes; digits next to each other
 are one word, however they are punctuated. Runs of ``shared`` words that stand in several items are not an item's own.
@@ -64,11 +65,38 @@ def myers(a: Sequence[int], b: Sequence[int]) -> int:
     return score
 
 
+def outward(a: Sequence[int], b: Sequence[int], most: int) -> list[tuple[int, int]]:
+    """(distance, words of ``b``) of each start of ``a``, from the empty one, to the start of ``b`` next to it; up to ``most``."""
+    over = most + 1
+    row = [min(j, over) for j in range(min(len(b), most) + 1)]
+    first, out = 0, [(0, 0)]
+    for i, x in enumerate(a, 1):
+        lo, hi = max(0, i - most), min(len(b), i + most)
+        if lo > hi:
+            break
+        new = []
+        for j in range(lo, hi + 1):
+            k = j - first
+            best = row[k] + 1 if k < len(row) else over
+            if j:
+                if k <= len(row) and row[k - 1] + (x != b[j - 1]) < best:
+                    best = row[k - 1] + (x != b[j - 1])
+                if new and new[-1] + 1 < best:
+                    best = new[-1] + 1
+            new.append(best)
+        row, first = new, lo
+        best = min(new)
+        if best > most:
+            break
+        out.append((best, lo + new.index(best)))
+    return out
+
+
 class ItemIndex:
     """Pieces of a bounded set of items; see the module for the parameters."""
 
     def __init__(self, items: Iterable[tuple[int, str | None]], passage: int = 20, errors: int = 5, shared: int = 12):
-        self.size = max(1, passage // (errors + 1))
+        self.size, self.passage, self.errors = max(1, passage // (errors + 1)), passage, errors
         self.vocabulary: dict[str, int] = {}
         self.items: dict[int, list[int]] = {}
         for i, text in items:
@@ -80,12 +108,20 @@ class ItemIndex:
             self.equal[first.setdefault(tuple(ids), i)].append(i)
         self.items = {i: self.items[i] for i in self.equal}
         runs = Counter(g for ids in map(tuple, self.items.values()) for g in {ids[k : k + shared] for k in range(len(ids) - shared + 1)})
+        #: For each word of an item, the ends of the run of own words that it stands in.
+        self.runs: dict[int, list[tuple[int, int]]] = {}
         self.pieces: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for i, ids in self.items.items():
             own = [True] * len(ids)
             for k in range(len(ids) - shared + 1):
                 if runs[tuple(ids[k : k + shared])] > 1:
                     own[k : k + shared] = [False] * shared
+            ends, start = [(0, 0)] * len(own), 0
+            for k in range(1, len(own) + 1):
+                if k == len(own) or own[k] != own[start]:
+                    ends[start:k] = [(start, k)] * (k - start)
+                    start = k
+            self.runs[i] = ends
             for k in range(len(ids) - self.size + 1):
                 if all(own[k : k + self.size]):
                     self.pieces[tuple(ids[k : k + self.size])].append((i, k))
@@ -135,6 +171,26 @@ class ItemIndex:
         at = self.pieces[tuple(run[: self.size])]
         return len({j for j, k in at if self.items[j][k : k + n] == run}) <= few
 
+    def _passages(self, i: int, doc: list[int], runs: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+        """The ``passage`` own words with the fewest errors, ``errors`` at most, around each run of hits."""
+        item, passage, errors = self.items[i], self.passage, self.errors
+        for q, p, n in runs:
+            more = passage - n
+            first, last = self.runs[i][q]
+            if more <= 0 or last - first < passage:
+                continue
+            before, after = item[max(first, q - more) : q][::-1], item[q + n : min(last, q + n + more)]
+            doc_before, doc_after = doc[max(0, p - more - errors) : p][::-1], doc[p + n : p + n + more + errors]
+            # most runs stand by chance: they have too few words of the item about them
+            near, far = set(doc_before), set(doc_after)
+            if sum(w in near for w in before) + sum(w in far for w in after) < more - errors:
+                continue
+            left, right = outward(before, doc_before, errors), outward(after, doc_after, errors)
+            sides = [(left[k][0] + right[more - k][0], k) for k in range(max(0, more - len(right) + 1), min(len(left), more + 1))]
+            distance, k = min(sides, default=(errors + 1, 0))
+            if distance <= errors:
+                yield q - k, q + n + more - k, passage - distance, p - left[k][1], p + n + right[more - k][1]
+
     def _blocks(self, i: int, doc: list[int], hits: list[tuple[int, int]], gap: int, worst: float, few: int) -> list[tuple[int, int, int]]:
         item, size, blocks = self.items[i], self.size, []
         runs = self._runs(hits)
@@ -156,7 +212,7 @@ class ItemIndex:
                 if q - b[2] > gap + size:
                     blocks.append(b)
             open_ = [b for b in open_ if q - b[2] <= gap + size]
-        kept: list[tuple[int, int, int, int, int]] = []
+        kept = list(self._passages(i, doc, runs))
         for q0, p0, q1, p1, anchored in blocks + open_:
             a, b = item[q0 : q1 + size], doc[p0 : p1 + size]
             distance = myers(a, b)

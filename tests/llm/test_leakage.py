@@ -94,3 +94,20 @@ def test_few_is_no_share_of_the_items():
     w = ITEMS[0][1].split()[:30]
     items = [(1, " ".join(w))] + [(10 + k, f"{' '.join(w[3 * k % 27 : 3 * k % 27 + 3])} {' '.join(f'q{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + j)}' for j in range(20))}") for k in range(60)]
     assert L.ItemIndex(items).kept(" ".join(w[:9] + ["zz"] * 12 + w[12:21])).get(1, 0) == 18
+
+
+def test_changed_words_at_the_ends():
+    w = ITEMS[4][1].split()[10:30]
+    for at in ([2, 5, 8], [3, 6, 9, 12, 15], [1, 3, 16, 18], [2, 4, 9, 14, 17], [1, 4, 7, 10, 13]):
+        doc = [f"zz{chr(97 + k)}" if k in at else x for k, x in enumerate(w)]
+        assert L.ItemIndex(ITEMS).kept(f"{FILL} {' '.join(doc)} {FILL}").get(4, 0) >= 13, at
+    assert L.ItemIndex(ITEMS).kept(f"{FILL} {' '.join(w[:12])} {FILL}").get(4, 0) < 13
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=20), st.lists(st.integers(0, 3), max_size=25))
+def test_outward(a, b):
+    got = L.outward(a, b, 5)
+    want = [min(plain(a[:k], b[:j]) for j in range(len(b) + 1)) for k in range(len(a) + 1)]
+    assert [x for x, _ in got] == want[: len(got)] and all(x > 5 for x in want[len(got) :])
+    assert all(plain(a[:k], b[:j]) == x for k, (x, j) in enumerate(got))
