@@ -194,8 +194,8 @@ def rescue_ingest(df: DataFrame, target: dict[str, tuple[str, Sequence[str]]], p
     """Payloads as typed columns, with what doesn't fit in ``_rescued``.
 
     ``target`` maps a column to its Spark type and the paths, in order of preference, under which it is delivered.
-    ``_rescued`` is a JSON object of path to the list of its values: of unknown fields, and of known ones whose
-    value can't be cast. ``_valid`` tells whether the payload was a JSON object at all; if not, ``_rescued`` holds it
+    A column takes the first of them whose value can be cast. ``_rescued`` is a JSON object of path to the list of its
+    values: of unknown fields, and of known ones whose value can't be cast or isn't the one taken. ``_valid`` tells whether the payload was a JSON object at all; if not, ``_rescued`` holds it
     under ``$raw`` and the columns are null. ``keep`` are columns carried along; those whose names clash with a
     target get the suffix ``_source``.
     """
@@ -212,26 +212,38 @@ def rescue_ingest(df: DataFrame, target: dict[str, tuple[str, Sequence[str]]], p
                 if obj is None:
                     rows.append((False, json.dumps({"$raw": [p]}), *[None] * len(names)))
                     continue
-                found: dict[str, tuple[int, object]] = {}
+                found: dict[str, list[tuple[int, str, str]]] = {}
                 rest: dict[str, list] = {}
                 for path, v in leaves(obj):
                     c = where.get(path)
                     if c is None or "[]" in path:
                         rest.setdefault(path, []).append(v)
-                    elif v is not None and (c not in found or rank[path] < found[c][0]):
-                        found[c] = (rank[path], v)
-                text = [None if c not in found else found[c][1] if isinstance(found[c][1], str) else json.dumps(found[c][1], ensure_ascii=False) for c in names]
-                rows.append((True, json.dumps(rest, ensure_ascii=False) if rest else None, *text))
+                    elif v is not None:
+                        found.setdefault(c, []).append((rank[path], path, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)))
+                values = [[{"path": path, "text": t} for _, path, t in sorted(found.get(c, ()), key=lambda x: x[0])] for c in names]
+                rows.append((True, json.dumps(rest, ensure_ascii=False) if rest else None, *values))
             out = pd.DataFrame(rows, columns=["_valid", "_rescued", *[f"_t_{c}" for c in names]], dtype=object)
             for c in kept.values():
                 out[c] = b[c].to_numpy()
             yield out
 
     carried = df.select(*[F.col(f"`{c}`").alias(n) for c, n in kept.items()], F.col(payload).alias("_payload"))
-    schema = T.StructType([T.StructField("_valid", T.BooleanType()), T.StructField("_rescued", T.StringType()), *[T.StructField(f"_t_{c}", T.StringType()) for c in names], *[f for f in carried.schema.fields if f.name != "_payload"]])
+    delivered = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())]))
+    schema = T.StructType([T.StructField("_valid", T.BooleanType()), T.StructField("_rescued", T.StringType()), *[T.StructField(f"_t_{c}", delivered) for c in names], *[f for f in carried.schema.fields if f.name != "_payload"]])
     text = carried.mapInPandas(run, schema)
-    cast = {c: F.try_cast(F.col(f"_t_{c}"), kind) if hasattr(F, "try_cast") else F.col(f"_t_{c}").try_cast(kind) for c, (kind, _) in target.items()}
-    failed = F.map_from_entries(F.filter(F.array(*[F.when(F.col(f"_t_{c}").isNotNull() & x.isNull(), F.struct(F.lit(target[c][1][0]), F.array(F.col(f"_t_{c}")))) for c, x in cast.items()]), lambda e: e.isNotNull()))
+    def tried(kind: str):
+        return lambda x: F.struct(x["path"].alias("path"), x["text"].alias("text"), x["text"].try_cast(kind).alias("value"))
+
+    def but(n):
+        return lambda x, i: i + 1 != n
+
+    values = {c: F.transform(F.coalesce(F.col(f"_t_{c}"), F.array().cast(delivered)), tried(kind)) for c, (kind, _) in target.items()}
+    text = text.select(*kept.values(), "_valid", "_rescued", *[x.alias(f"_t_{c}") for c, x in values.items()])
+    taken = {c: F.array_position(F.transform(F.col(f"_t_{c}"), lambda x: x["value"].isNotNull()), True) for c in names}
+    cast = {c: F.try_element_at(F.filter(F.col(f"_t_{c}"), lambda x: x["value"].isNotNull()), F.lit(1))["value"] for c in names}
+    left = F.flatten(F.array(*[F.transform(F.filter(F.col(f"_t_{c}"), but(n)), lambda x: F.struct(x["path"].alias("path"), x["text"].alias("text"))) for c, n in taken.items()])) if names else F.array().cast(delivered)
+    text = text.withColumn("_left", left)
+    failed = F.map_from_entries(F.transform(F.array_distinct(F.col("_left.path")), lambda k: F.struct(k, F.transform(F.filter("_left", lambda x: x["path"] == k), lambda x: x["text"]))))
     bad = F.when(F.size(failed) > 0, F.to_json(failed))
     rescued = F.when(bad.isNull(), F.col("_rescued")).when(F.col("_rescued").isNull(), bad).otherwise(F.concat(F.expr("substring(_rescued, 1, length(_rescued) - 1)"), F.lit(","), F.substring(bad, 2, 2**31 - 1)))
     return text.select(*kept.values(), *[x.alias(c) for c, x in cast.items()], rescued.alias("_rescued"), F.col("_valid"))

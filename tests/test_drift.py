@@ -95,3 +95,11 @@ def test_queries_keep_every_record(spark, sf):
         assert t.count() == raw.where(raw.feed.startswith(kind)).count() and t.where("_valid").count() > 0
         key = "case_id" if kind != "bill" else "statement_date"
         assert t.where(f"_valid and {key} is null").count() <= 0.2 * t.count()
+
+
+def test_rescue_keeps_what_is_not_taken(spark):
+    rows = [(1, '{"n": 1, "old_n": 2}'), (2, '{"old_n": "4", "n": "x"}'), (3, '{"n": "x", "old_n": "y"}'), (4, '{"old_n": 5}'), (5, '{"a": {"n": 6}, "a.n": 7, "z": 0}')]
+    got = drift.rescue_ingest(spark.createDataFrame(rows, "record_id long, payload string"), {"n": ("int", ["n", "old_n", "a.n"])}, keep=["record_id"])
+    out = {r["record_id"]: (r["n"], json.loads(r["_rescued"] or "{}")) for r in got.collect()}
+    assert [out[k] for k in (1, 2, 3, 4)] == [(1, {"old_n": ["2"]}), (4, {"n": ["x"]}), (None, {"n": ["x"], "old_n": ["y"]}), (5, {})]
+    assert {out[5][0], int(out[5][1]["a.n"][0])} == {6, 7} and out[5][1]["z"] == [0]
