@@ -211,7 +211,7 @@ class Finder:
 
     def _names(self, text: str, low: str, cued: set[int], name_kind: Callable[[str], str | None], found: list, covered: bytearray) -> None:
         words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-        kinds = [name_kind(low[a:b].removesuffix("'s").removesuffix("’s")) if b - a > 1 else None for a, b in words]
+        kinds = [name_kind(name_word(low, a, b)) if b - a > 1 else None for a, b in words]
         free = [covered.find(1, a, b) < 0 for a, b in words]
         i = 0
         while i < len(words):
@@ -239,6 +239,11 @@ class Finder:
         return end in cued
 
 
+def name_word(low: str, a: int, b: int) -> str:
+    """The word of a lower-case text as the lexicon has it, without the possessive ending."""
+    return low[a:b].removesuffix("'s").removesuffix("’s")
+
+
 def lexicon_of(names: DataFrame, column: str) -> DataFrame:
     """(word, kind) of full names: lower-case words, "f" for first ones, "l" for last ones, "b" for both."""
     parts = names.where(F.col(column).isNotNull()).select(F.split(F.lower(F.trim(F.col(column))), r"[\s,.]+").alias("p")).where(F.size("p") >= 2)
@@ -260,8 +265,12 @@ def find_places(df: DataFrame, columns: Sequence[str], facilities: Facilities, l
     rows = df.select(*[F.col(f"`{c}`") for c in [*carry, *columns]])
     if len(head) > broadcast_words:
         rows = rows.withColumn("_row", F.monotonically_increasing_id())
-        words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", *columns)), r"[^\p{L}]+"))
-        names = rows.select("_row", F.explode(words).alias("word")).join(lexicon, "word").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("word", "kind"))).alias("_names"))
+
+        @F.pandas_udf("array<string>")
+        def words(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: list({name_word(low, a, b) for low in [_lower(t)] for a, b in (m.span() for m in _WORD.finditer(t))}))
+
+        names = rows.select("_row", F.explode(F.array_distinct(F.flatten(F.array(*[words(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in columns])))).alias("word")).join(lexicon, "word").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("word", "kind"))).alias("_names"))
         rows = rows.join(names, "_row", "left").drop("_row")
     else:
         rows = rows.withColumn("_names", F.lit(None).cast("map<string,string>"))

@@ -51,3 +51,11 @@ def test_columns_and_lexicon_by_join(spark):
     got = P.find_places(df, ["a", "b"], FAC, lex, ["id"], masked=True).where("id = 1").head()
     assert got["a_masked"] == "[PERSON_NAME] lives at [STREET_ADDRESS]" and [p["kind"] for p in got["b_places"]] == ["email"]
     assert P.find_places(df.limit(0), ["a"], FAC, lex.limit(0), ["id"]).count() == 0
+
+
+def test_marked_names_by_join(spark):
+    texts = ["Dana O'Brien called", "ask Smith-Jones's office, or Jean-Luc", "Oren’s bill", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, a string")
+    lex = P.lexicon_of(spark.createDataFrame([("Dana O'Brien",), ("Jean-Luc Smith-Jones",), ("Oren Dunwick",)], "n string"), "n")
+    one, two = ({r["id"]: [tuple(p) for p in r["a_places"]] for r in P.find_places(df, ["a"], FAC, lex, ["id"], broadcast_words=n).collect()} for n in (100, 1))
+    assert one == two and [len(one[k]) for k in range(5)] == [1, 2, 1, 0, 0]
