@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from billspark.operators import search
 from billspark.session import spread, table
@@ -31,7 +32,14 @@ def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.tfidf_topk(_chunks(spark, d), asked).drop("snippet")
 
 
-QUERIES = {f.__name__: f for f in (chunk_documents, doc_frequency, term_frequency, tfidf_topk)}
+def tfidf_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The best chunks for the text of every document whose id is divisible by 100."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").cast("bigint").alias("query_id"), F.col("text").alias("query"))
+    return search.tfidf_topk(_chunks(spark, d), asked, broadcast=False).drop("snippet")
+
+
+QUERIES = {f.__name__: f for f in (chunk_documents, doc_frequency, term_frequency, tfidf_topk, tfidf_documents)}
 
 _WORDS = "(SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda z: z <> '') AS w FROM documents WHERE text IS NOT NULL)"
 _CHUNKS = f"(SELECT doc_id, (start // 450)::BIGINT AS chunk_index, w[start + 1 : start + 500] AS c FROM (SELECT doc_id, w, unnest(range(0, len(w), 450)) AS start FROM {_WORDS} WHERE len(w) > 0))"

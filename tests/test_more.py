@@ -66,3 +66,16 @@ def test_windowed_counts(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert sorted((r["k"], r["n"]) for r in spark.table("windows").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_every_hundredth_document_is_a_query(spark, sf):
+    from pyspark.sql import functions as F
+
+    from billspark.operators import search
+    from billspark.plans.search import tfidf_documents
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    got = {tuple(r) for r in tfidf_documents(spark, sf).collect()}
+    assert {r[0] for r in got} == {r["query_id"] for r in asked.where("text rlike '[A-Za-z0-9]'").collect()}
+    assert got == {tuple(r) for r in search.tfidf_topk(search.chunks(docs), asked).drop("snippet").collect()}
