@@ -71,7 +71,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     facilities, lexicon = pii_context(spark, d)
     reviews = spread(table(spark, d, "reviews").select("review_id", *PII_FIELDS))
     places = pii.find_places(reviews, PII_FIELDS, facilities, lexicon, carry=["review_id"])
-    kinds = F.concat(*[F.transform(F.array_distinct(F.transform(f"{c}_places", lambda x: x["kind"])), lambda k, c=c: F.struct(F.lit(c).alias("field_name"), k.alias("pii_kind"))) for c in PII_FIELDS])
+
+    def named(c: str):
+        return lambda x: F.struct(F.lit(c).alias("field_name"), x["kind"].alias("pii_kind"))
+
+    kinds = F.concat(*[F.array_distinct(F.transform(f"{c}_places", named(c))) for c in PII_FIELDS])
     return places.select("review_id", F.explode(kinds).alias("x")).select("review_id", "x.field_name", "x.pii_kind").distinct()
 
 

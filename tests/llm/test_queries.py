@@ -4,8 +4,9 @@ import pytest
 
 from billspark.llm import queries as q
 
-COLUMNS = {
-    "p1_found": ["review_id", "field_name"], "p4_found": ["review_id", "pair_name", "defect"], "p5_found": ["review_id", "field_name", "pii_kind"], "p6_ids": ["doc_id", "ids"], "p7_found": ["doc_id", "item_id"], "p8_found": ["doc_id_a", "doc_id_b"],
+TYPES = {
+    "p1_found": "review_id bigint, field_name string", "p4_found": "review_id bigint, pair_name string, defect string", "p5_found": "review_id bigint, field_name string, pii_kind string",
+    "p6_ids": "doc_id bigint, ids array<int>", "p7_found": "doc_id bigint, item_id bigint", "p8_found": "doc_id_a bigint, doc_id_b bigint",
 }
 
 
@@ -14,5 +15,20 @@ def test_runs(spark, sf, name):
     df = q.QUERIES[name](spark, sf)
     rows = df.collect()
     assert len(rows) > 0 or name == "p8_found"
-    if name in COLUMNS:
-        assert df.columns == COLUMNS[name] and len(rows) == len({str(r) for r in rows})
+    if name in TYPES:
+        assert ", ".join(f"{n} {t}" for n, t in df.dtypes) == TYPES[name] and len(rows) == len({str(r) for r in rows})
+
+
+def test_found_values(spark, tmp_path, sf):
+    """The named columns hold the names that TESTDATA gives, and each kind is told of its own field."""
+    bills = spark.read.parquet(f"{sf}/bills.parquet").limit(50)
+    bills.write.parquet(f"{tmp_path}/bills.parquet")
+    empty = spark.read.parquet(f"{sf}/reviews.parquet").limit(0)
+    given = [(1, "f", "Mail me at ann.lee@mail.test.", "Please call 555-201-7788."), (2, "f", None, ""), (3, "f", "My SSN is 123-45-6789, or ann at mail dot test", "Nothing here.")]
+    rows = spark.createDataFrame(given, "review_id long, run_file string, patient_input string, agent_initial_response string")
+    empty.unionByName(rows, allowMissingColumns=True).write.parquet(f"{tmp_path}/reviews.parquet")
+    got = {tuple(r) for r in q.p5_found(spark, str(tmp_path)).collect()}
+    assert got == {(1, "patient_input", "email"), (1, "agent_initial_response", "phone"), (3, "patient_input", "identity_number"), (3, "patient_input", "email")}
+    whole = spark.read.parquet(f"{sf}/reviews.parquet")
+    for name, column, values in (("p1_found", "field_name", {"agent_final_response", "agent_followup_response"}), ("p4_found", "pair_name", {"initial", "followup"}), ("p4_found", "defect", {"empty", "truncated", "refusal", "copy", "other_language"})):
+        assert {r[0] for r in q.QUERIES[name](spark, sf).select(column).distinct().collect()} <= values and whole.count()
