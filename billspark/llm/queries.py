@@ -67,10 +67,17 @@ def pii_context(spark: SparkSession, d: str) -> tuple[pii.Facilities, DataFrame]
 PII_FIELDS = ("patient_input", "agent_initial_response")
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def _found_places(spark: SparkSession, d: str, masked: bool = False) -> DataFrame:
+    """Places by the names of the bills and those that the texts tell; insurers' words are none."""
     facilities, lexicon = pii_context(spark, d)
     reviews = spread(table(spark, d, "reviews").select("review_id", *PII_FIELDS))
-    places = pii.find_places(reviews, PII_FIELDS, facilities, lexicon, carry=["review_id"])
+    insurers = table(spark, d, "bills").select(F.explode(F.array("insurance.primary", "insurance.secondary")).alias("name")).select(F.explode(F.split(F.lower("name"), r"[^\p{L}'’-]+")).alias("word"))
+    learnt = pii.corpus_names(reviews, PII_FIELDS, facilities, insurers)
+    return pii.find_places(reviews, PII_FIELDS, facilities, pii.merged_lexicon(lexicon, learnt), carry=["review_id"], masked=masked)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    places = _found_places(spark, d)
 
     def named(c: str):
         return lambda x: F.struct(F.lit(c).alias("field_name"), x["kind"].alias("pii_kind"))
@@ -81,9 +88,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_masked(spark: SparkSession, d: str) -> DataFrame:
     """The texts with typed placeholders, one row per review."""
-    facilities, lexicon = pii_context(spark, d)
-    reviews = spread(table(spark, d, "reviews").select("review_id", *PII_FIELDS))
-    out = pii.find_places(reviews, PII_FIELDS, facilities, lexicon, carry=["review_id"], masked=True)
+    out = _found_places(spark, d, masked=True)
     return out.groupBy("review_id").agg(*[F.max(f"{c}_masked").alias(c) for c in PII_FIELDS])
 
 
