@@ -1,14 +1,17 @@
 """Texts cut off by field limits.
 
-Two kinds of evidence are combined for each stored text. Ending evidence: whether the text stops inside a sentence
-or list entry, told by its last unit (the last sentence or line) and by how the same words go on in other texts, and
-by a sibling field that holds the same text whole. Censoring evidence: for each source, a log-normal distribution of
-lengths is fitted by maximum likelihood with values at a candidate limit as right-censored; of each value at a limit
-it gives the posterior probability that the limit cut it.
-
-Defined results: null, blank and placeholder texts are not cut; a text that ends its sentence is not cut even at a
-limit, unless a sibling shows how it goes on; a copy of the prompt without its full stop is not cut; a text
-delivered twice counts once per id.
+Two kinds of evidence are added for each stored text that punctuation leaves open. Ending evidence: the log odds that a
+text which ends like this was cut, by how the same words go on in all texts. Censoring evidence: for each source, a
+log-normal distribution of lengths is fitted by maximum likelihood with values at a candidate limit as right-censored;
+of each value at a limit it gives the posterior probability that the limit cut it, whose log odds are added. Off the
+limits those of ``PRIOR`` are. The ending's log odds are measured on planted cuts and within the posterior's reach, so
+that the same end can be cut at a limit and whole elsewhere.
+
+What is known needs no odds: a text that ends its sentence is no cut by definition, even at a limit, and a sibling
+field that holds the same text whole shows whether it goes on.
+
+Defined results: null, blank and placeholder texts are not cut; a copy of the prompt without its full stop is not cut;
+a text delivered twice counts once per id.
 """
 
 from __future__ import annotations
@@ -18,18 +21,21 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from billspark.llm.bitmap import bitmap_of, has
 from billspark.session import materialize
 
 # Texts that stand for no text.
 PLACEHOLDERS = ["", "-", "--", "---", "–", "—", "...", "…", ".", "n/a", "na", "n.a.", "none", "null", "nil", "nan", "tbd", "[no response]", "[empty]", "(no response)", "(empty)", "no response", "no answer", "[no answer]", "?", "#n/a", "empty", "blank", "pending", "undefined"]
 _PLACEHOLDERS = frozenset(PLACEHOLDERS)
 _INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
+_BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _CLOSERS = "\"'”’»)]*_"
 _STOPS = ".!?。！？"
 #: Full stops that end no sentence.
@@ -41,7 +47,15 @@ _NUMBER = re.compile(r"[\d,.]*\d")
 _ZERO = str.maketrans(dict.fromkeys("123456789", "0"))
 _NOT_PLAIN = re.compile(r"[\W_]+")
 
-CUT, WHOLE = 9.0, -9.0
+#: What is known.
+CUT, WHOLE = 20.0, -20.0
+#: Log odds measured on planted cuts: an end after a separator; an end within a sentence, of words that no text goes
+#: on or ends with, after other sentences of its line; the same elsewhere.
+SEPARATOR, PROSE, UNSEEN = 6.0, 4.5, 1.0
+#: Log odds of a cut before its end is looked at, off the limits.
+PRIOR = -2.0
+#: A cut falls on one place of some thirty that a text has in a unit of the same words; see ``ending_odds``.
+PLACE = 0.03
 
 
 def clean(c: Column) -> Column:
@@ -50,8 +64,9 @@ def clean(c: Column) -> Column:
 
 
 def is_placeholder(c: Column) -> Column:
-    """Blank, or one of ``PLACEHOLDERS``; texts of over 64 characters are not looked at."""
-    return F.when(F.length(c) > 64, False).otherwise(F.lower(clean(c)).isin(PLACEHOLDERS))
+    """Blank at any length, or one of ``PLACEHOLDERS``."""
+    # the patterns of ``clean`` are not run over long texts
+    return F.when(F.length(F.translate(c, _INVISIBLE + _BLANKS, "")) > 64, False).otherwise(F.lower(clean(c)).isin(PLACEHOLDERS))
 
 
 _HIDE = str.maketrans(dict.fromkeys(_INVISIBLE, ""))
@@ -99,7 +114,7 @@ def ending(text: str | None, sibling: str | None, prompt: str | None) -> tuple[f
             return WHOLE, None, False
     # a separator, or what is left of a character that was cut in two
     if bare[-1:] in ",;(–—\ufffd":
-        return CUT, None, False
+        return SEPARATOR, None, False
     return None, last, len(units) > 1
 
 
@@ -111,7 +126,8 @@ def _stem(words: list[str], k: int) -> int:
 
 def no_text(text: str | None) -> bool:
     """Whether a text is null, blank or a placeholder."""
-    return not text or len(text) <= 64 and _cleaned(text).lower() in _PLACEHOLDERS
+    t = _cleaned(text)
+    return not t or len(t) <= 64 and t.lower() in _PLACEHOLDERS
 
 
 def judge_endings(rows: DataFrame, carry: Sequence[str] = (), label: Callable[[str | None, str | None], str | None] | None = None) -> DataFrame:
@@ -147,14 +163,15 @@ def continuations(rows: DataFrame, stems: DataFrame, broadcast_stems: int = 1_00
 
     Units are counted by shape within each batch, then each distinct shape's words are looked up among the stems;
     what is shuffled are counts of words after stems. Up to ``broadcast_stems`` stems (8 bytes each) are broadcast,
-    beyond that all words are emitted and joined to the stems.
+    beyond that a bitmap of them, and what it lets through is joined to the stems.
     """
     spark = rows.sparkSession
     head = stems.limit(broadcast_stems + 1).toPandas()["stem"]
-    shared = spark.sparkContext.broadcast(head.to_numpy("int64") if len(head) <= broadcast_stems else None)
+    few = len(head) <= broadcast_stems
+    shared = spark.sparkContext.broadcast(head.to_numpy("int64") if few else bitmap_of(stems, F.col("stem")))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = None if shared.value is None else set(shared.value.tolist())
+        known = set(shared.value.tolist()) if few else shared.value
         for b in batches:
             closed: Counter[str] = Counter()
             open_: Counter[str] = Counter()
@@ -176,7 +193,7 @@ def continuations(rows: DataFrame, stems: DataFrame, broadcast_stems: int = 1_00
                     for k, w in enumerate(words):
                         h = prefix.intdigest()
                         h = h - (1 << 64) if h >= 1 << 63 else h
-                        if asked is None or h in asked:
+                        if h in known if few else has(known, h):
                             if k + 1 < len(words):
                                 on[h, w] += n
                             elif whole:
@@ -189,7 +206,17 @@ def continuations(rows: DataFrame, stems: DataFrame, broadcast_stems: int = 1_00
 
     nodes = rows.where("text is not null").select("id", "text").mapInPandas(run, "stem bigint, next string, goes_on bigint, ends bigint")
     nodes = nodes.groupBy("stem", "next").agg(F.sum("goes_on").alias("goes_on"), F.sum("ends").alias("ends"))
-    return nodes if shared.value is not None else nodes.join(stems, "stem", "left_semi")
+    return nodes if few else nodes.join(stems, "stem", "left_semi")
+
+
+def ending_odds(goes_on: Column, ends: Column, prose: Column) -> Column:
+    """Log odds that an open end is a cut, from how often its words go on and how often they end a unit elsewhere.
+
+    A whole unit ends with these words as often as it does elsewhere, a cut falls on this place in ``PLACE`` of the
+    texts that go through it. Words that neither go on nor end anywhere have the odds of ``PROSE`` or ``UNSEEN``.
+    """
+    known = F.ln(PLACE * goes_on + 0.0005) - F.ln(ends + 0.0002)
+    return F.when((goes_on == 0) & (ends == 0), F.when(prose, PROSE).otherwise(UNSEEN)).otherwise(known)
 
 
 def resolve_endings(judged: DataFrame, rows: DataFrame) -> DataFrame:
@@ -206,21 +233,17 @@ def resolve_endings(judged: DataFrame, rows: DataFrame) -> DataFrame:
     # open ends of the same words in other texts count as well
     ends = asked.groupBy("stem", F.col("word").alias("next")).agg(F.lit(0).cast("bigint").alias("goes_on"), F.sum("own").alias("ends"))
     words = nodes.unionByName(ends).groupBy("stem", "next").agg(F.sum("goes_on").alias("goes_on"), F.sum("ends").alias("ends"))
-    # a word is met by its own beginnings, an equality each, so that no stem makes pairs of all its words
-    begins = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("next"), F.lit(64)))), lambda i: F.left("next", i)), F.array("next")))
-    met = words.select("stem", "next", "goes_on", "ends", F.explode(begins).alias("word")).join(asked.select("stem", "word").distinct(), ["stem", "word"])
+    # a word is met by its own beginnings of the lengths asked for after its stem, an equality each, so that no stem
+    # makes pairs of all its words
+    sizes = asked.groupBy("stem").agg(F.collect_set(F.length("word")).alias("sizes"))
+    begins = F.transform(F.filter("sizes", lambda n: n <= F.length("next")), lambda n: F.left("next", n))
+    met = words.join(sizes, "stem").select("stem", "next", "goes_on", "ends", F.explode(begins).alias("word")).join(asked.select("stem", "word").distinct(), ["stem", "word"])
     same = F.col("next") == F.col("word")
     seen = met.groupBy("stem", "word").agg(F.sum(F.when(same, F.col("ends")).otherwise(0)).alias("ends"), F.sum(F.when(same, F.col("goes_on")).otherwise(F.col("goes_on") + F.col("ends"))).alias("goes_on"))
     known = asked.join(seen, ["stem", "word"]).groupBy("shape").agg(F.max("ends").alias("ends"), F.max("goes_on").alias("goes_on"))
-    more = F.col("ends") - F.when(F.col("posterior").isNull(), 1).otherwise(0)
-    verdict = (
-        F.when((F.col("goes_on") == 0) & (more >= 1), WHOLE)
-        .when(F.col("goes_on") == 0, F.when(F.col("prose"), CUT / 2).otherwise(0.0))
-        # about a cut in some hundred texts falls on any one place; a whole unit ends there far more often
-        .when((more >= 1) & (more >= 0.004 * F.col("goes_on")), WHOLE)
-        .otherwise(CUT)
-    )
-    settled = open_.join(known, "shape").select(*carried, verdict.alias("evidence"))
+    # its own end, counted where no limit is, says nothing
+    elsewhere = F.greatest(F.col("ends") - F.when(F.col("posterior").isNull(), 1).otherwise(0), F.lit(0))
+    settled = open_.join(known, "shape").select(*carried, ending_odds(F.col("goes_on"), elsewhere, F.col("prose")).alias("evidence"))
     return judged.where("shape is null").select(*carried, F.col("said").alias("evidence")).unionByName(settled)
 
 
@@ -236,32 +259,31 @@ def fit_censoring(pdf: pd.DataFrame) -> pd.DataFrame:
     is the censored share of what lies there.
     """
     src, fld = pdf["source"].iloc[0], pdf["field"].iloc[0]
-    lens, ns, cuts = pdf["len"].to_numpy(), pdf["n"].to_numpy(), pdf["cut"].to_numpy()
+    pdf = pdf.sort_values("len")
+    lens, ns, cuts = (pdf[c].to_numpy("int64") for c in ("len", "n", "cut"))
     total = int(ns.sum())
-    out = []
-    for length, n, cut in zip(lens, ns, cuts):
-        near = ns[(abs(lens - length) <= 10) & (lens != length)].sum() / 20.0
-        if cut >= 3 and cut >= 0.4 * n and n >= near + 4 * math.sqrt(near) + 2:
-            out.append((int(length), int(n), int(cut)))
+    before = np.concatenate([[0], ns.cumsum()])
+    near = (before[np.searchsorted(lens, lens + 10, "right")] - before[np.searchsorted(lens, lens - 10, "left")] - ns) / 20.0
     rows = []
-    for limit, n_at, cut_at in out:
-        free = lens != limit
-        x, w = [math.log(v) for v in lens[free] if v > 0], [float(k) for v, k in zip(lens[free], ns[free]) if v > 0]
-        c, logc = float(n_at), math.log(max(limit, 1))
-        if not x:
-            rows.append((src, fld, limit, n_at, logc, 0.0, cut_at / n_at))
+    for at in np.flatnonzero((cuts >= 3) & (cuts >= 0.4 * ns) & (ns >= near + 4 * np.sqrt(near) + 2)):
+        limit, n_at = int(lens[at]), int(ns[at])
+        free = (lens != limit) & (lens > 0)
+        x, w = np.log(lens[free]), ns[free].astype(float)
+        logc = math.log(max(limit, 1))
+        if not len(x):
+            rows.append((src, fld, limit, n_at, logc, 0.0, float(cuts[at] / n_at)))
             continue
-        mu = sum(a * b for a, b in zip(x, w)) / sum(w)
-        sd = math.sqrt(max(1e-4, sum(b * (a - mu) ** 2 for a, b in zip(x, w)) / sum(w)))
+        sw, sx, sxx = float(w.sum()), float(w @ x), float(w @ (x * x))
+        mu = sx / sw
+        sd = math.sqrt(max(1e-4, sxx / sw - mu * mu))
         for _ in range(30):
             z = (logc - mu) / sd
             tail = max(1e-9, 0.5 * math.erfc(z / math.sqrt(2)))
             ratio = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / tail
             e1 = mu + sd * ratio
             e2 = mu * mu + sd * sd + sd * (logc + mu) * ratio
-            m = sum(w) + c
-            new = (sum(a * b for a, b in zip(x, w)) + c * e1) / m
-            var = (sum(b * a * a for a, b in zip(x, w)) + c * e2) / m - new * new
+            new = (sx + n_at * e1) / (sw + n_at)
+            var = (sxx + n_at * e2) / (sw + n_at) - new * new
             done = abs(new - mu) < 1e-6
             mu, sd = new, math.sqrt(max(1e-4, var))
             if done:
@@ -285,13 +307,12 @@ def truncation_posterior(rows: DataFrame, carry: Sequence[str] = (), label: Call
     """(id, source, field, len, evidence, posterior, p_cut), carried columns and ``label`` of each text.
 
     ``rows`` has id, source, field, text, sibling and prompt. ``posterior`` is that of the source's limit at this
-    length (null off the limits); its log odds against an even chance, or the prior odds of a cut off the limits,
-    are added to the evidence. Two passes over the texts in Python, whose only shuffles are of counts; the first
+    length (null off the limits); its log odds, or ``PRIOR`` off the limits, are added to the evidence. Two passes over the texts in Python, whose only shuffles are of counts; the first
     one's table, which has no texts, is written to the shared folder.
     """
     named = rows.withColumn("source", F.coalesce("source", F.lit("")))
     judged = materialize(judge_endings(named, carry, label), "endings")
     limits = materialize(source_limits(judged).select("source", "field", F.col("lim").alias("len"), "posterior"), "limits")
     both = resolve_endings(judged.join(limits, ["source", "field", "len"], "left"), named)
-    at = F.coalesce(F.ln(F.greatest(F.col("posterior"), F.lit(1e-3)) / (1 - F.col("posterior"))), F.lit(-2.0))
-    return both.withColumn("p_cut", 1 / (1 + F.exp(-(F.col("evidence") + at))))
+    odds = F.ln(F.greatest(F.col("posterior"), F.lit(1e-3)) / (1 - F.col("posterior")))
+    return both.withColumn("p_cut", 1 / (1 + F.exp(-(F.col("evidence") + F.coalesce(odds, F.lit(PRIOR))))))

@@ -5,6 +5,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from billspark.llm import truncation as T
 
@@ -79,3 +80,37 @@ def test_fit_of_a_censored_sample():
     pdf = pd.DataFrame({"source": "s", "field": "f", "len": h.index, "n": h.to_numpy(), "cut": [n if v == 600 else 0 for v, n in h.items()]})
     got = T.fit_censoring(pdf).set_index("lim").loc[600]
     assert abs(got["mu"] - 6) < 0.02 and abs(got["sigma"] - 0.5) < 0.02 and got["posterior"] > 0.97
+
+
+def test_the_posterior_decides(spark):
+    """Texts that end alike, with words that go on elsewhere and end an entry elsewhere: cut at the limit, whole off it."""
+    r = random.Random(7)
+    body = lambda n: " ".join(r.choice(SENTENCES) for _ in range(12))[: n - 25].rstrip(" .") + ".\n"
+    out = []
+    for i in range(400):
+        t = body(r.randrange(150, 700)) + "- Bring two recent pay stubs and the letter of the office\n- Fill in the form."
+        out.append((i, "capped", "f", t[:300] if len(t) > 300 else t, None, None))
+    entry = "- Bring two recent pay stubs"
+    for i in range(3):
+        out.append((1000 + i, "free", "f", f"Number {'abc'[i]} of the list.\n" * (9 + i) + entry, None, None))
+    head = SENTENCES[1] + " " + SENTENCES[2] + " " + SENTENCES[0]
+    at = (head + " " + head)[: 299 - len(entry)].rsplit(".", 1)[0] + "."
+    out.append((2000, "capped", "f", at + "\n" * (300 - len(entry) - len(at)) + entry, None, None))
+    assert len(out[-1][3]) == 300
+    df = spark.createDataFrame(out, SCHEMA)
+    got = T.truncation_posterior(df).toPandas().set_index("id")
+    assert got.loc[2000, "posterior"] > 0.9 and got.loc[2000, "p_cut"] > 0.5
+    assert (got.loc[[1000, 1001, 1002], "p_cut"] < 0.5).all()
+    # without the posterior the same evidence calls it whole
+    assert got.loc[2000, "evidence"] + T.PRIOR < 0
+
+
+def test_long_words_and_blanks(spark):
+    long = "x" * 300
+    rows = [(i, "s", "f", f"It is paid. See {long}yz of the office.", None, None) for i in range(5)] + [(9, "s", "f", f"It is paid. See {long}y", None, None), (10, "s", "f", " \n" * 80, None, None)]
+    got = T.truncation_posterior(spark.createDataFrame(rows, SCHEMA)).toPandas().set_index("id")
+    assert got.loc[9, "p_cut"] > 0.5 and got.loc[10, "p_cut"] < 0.5
+    assert T.no_text("\u200b \n" * 90) and not T.no_text("x" * 90)
+    texts = [" \n" * 80, "\u200b" * 70, " " * 70 + "N/A", "x" * 70, "n/a", "", "w " * 60]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(T.is_placeholder(F.col("t"))).collect()] == [T.no_text(t) for t in texts]
