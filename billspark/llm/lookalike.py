@@ -51,6 +51,7 @@ def _same_look(ch: str) -> str | None:
     return to if joined else None
 
 
+@cache
 def expand(ch: str) -> str:
     """What one code point becomes before marks are ordered: decomposed, by look, without what can't be seen."""
     code = ord(ch)

@@ -73,18 +73,30 @@ def lcs(a: Sequence, b: Sequence) -> int:
 
 
 def is_copy(prompt: str, answer: str, extra: int = 5, kept: float = 0.6) -> bool:
-    """Whether the answer gives back the prompt, perhaps framed, changed or repeated, and nothing else."""
-    if len(answer) > 3 * len(prompt) + 80:
-        return False
-    p, r = words(prompt), words(answer)
-    if not p or not r or len(r) > 2.6 * len(p) + extra or len(r) < kept * len(p):
-        return False
+    """Whether the answer gives back the prompt, perhaps framed, changed or repeated any number of times, and nothing else.
+
+    In a copy all but ``extra`` words align, so that the head of a long answer tells already whether it may be one.
+    """
+    p = words(prompt)
     pairs = set(zip(p, p[1:]))
-    if len(r) > 2 and sum(x in pairs for x in zip(r, r[1:])) < 0.4 * (len(r) - 1):
+
+    def contained(r: list[str]) -> bool:
+        return len(r) < 3 or sum(x in pairs for x in zip(r, r[1:])) >= 0.4 * (len(r) - 1)
+
+    if not p:
+        return False
+    if len(answer) > 3 * len(prompt) + 80:
+        head = words(answer[: max(300, len(prompt))])
+        if len(head) > 3 * extra and not contained(head[:-1]):
+            return False
+    r = words(answer)
+    if not r or len(r) < kept * len(p) or not contained(r):
         return False
-    parts = [r] if len(r) < 1.6 * len(p) else [r[: len(r) // 2], r[len(r) // 2 :]]
-    common = [lcs(p, x) for x in parts]
-    return max(common) >= kept * len(p) and len(r) - sum(common) <= min(extra, max(2, 0.3 * len(r)))
+    parts = 1 if len(r) < 1.6 * len(p) else max(2, round((len(r) - extra / 2) / len(p)))
+    cuts = [len(r) * k // parts for k in range(parts + 1)]
+    # repeats that a frame shifts begin anywhere in the prompt
+    common = [lcs(p if parts == 1 else p + p, r[x:y]) for x, y in zip(cuts, cuts[1:])]
+    return min(common) >= kept * len(p) and len(r) - sum(common) <= min(extra, max(2, 0.3 * len(r)))
 
 
 def _plain(s: str) -> list[str]:
@@ -106,10 +118,11 @@ class Templates:
     def aligns(self, w: list[str], least: float = 0.75) -> bool:
         if tuple(w) in self.exact:
             return True
-        if not 2 <= len(w) <= 24:
+        # an aligned template is over half as long and has the most of both
+        if len(w) < 2 or sum(x in self.by_word for x in w) < 0.75 * least * len(w):
             return False
         seen: set[int] = set()
-        for x in w:
+        for x in sorted(set(w), key=lambda x: len(self.by_word.get(x, ())))[: len(w) - int(0.75 * least * len(w)) + 1]:
             for t in self.by_word.get(x, ()):
                 if id(t) not in seen:
                     seen.add(id(t))
@@ -123,21 +136,31 @@ _REFUSES = re.compile(
     r"\b(?:can(?:no|')t|can not|unable to|not able to|won't be able to|will not|won't|must (?:decline|refrain)|have to decline|(?:would|'d) rather not|not (?:allowed|permitted|authorized|appropriate)|no puedo|no podemos|je ne peux pas|je ne suis pas en mesure)\b"
     r".{0,40}\b(?:help|assist|answer|respond|discuss|comment|reply|talk|say|ayudar\w*|responder|contestar|hablar|aider|répondre|commenter)\b"
 )
+# How others are named whom to ask, with or without their number.
+_REFERS = re.compile(
+    r"(?:(?:please|kindly|instead|you (?:can|may|should|could)|i suggest (?:you|that you)|por favor|veuillez),? )?(?:call|contact|ask|reach(?: out to)?|speak (?:to|with)|talk (?:to|with)|consult|write to|consulte(?:r)?|llame a|hable con|contacte[rz]?|appele[rz]|parle[rz] (?:à|avec)) "
+    r"(?:(?:a|an|the|your|our|one of our|some|someone|somebody|another|un|una|el|la|su|le|votre|al|qualified|licensed|medical|legal|billing|financial|customer|patient|care) )*[^\W\d_]*\w+(?: (?:office|team|department|desk|line|services?|counselor|professional|advisor|staff|support|who can|instead|directly|at [\d() .+-]+|on [\d() .+-]+|for (?:help|that|this)|about (?:this|that|it)))*[.!]?"
+)
+_SUBJECT = re.compile(r"\b(?:i|we|i'm|i'd|it|ai|assistant|unfortunately|regrettably|lo siento|no|je)\b|^(?:unable|not able|can)")
+_HELPS = re.compile(r"\b(?:but|though|pero|mais|however)\b.*\b(?:can|puedo|peux|let me|will)\b")
+_GREETS = re.compile(r"(?:dear|hello|hi|hola|bonjour)\b.{0,40}$")
 _refusals, _fillers = Templates(REFUSALS), Templates(FILLERS)
 
 
 def is_refusal(answer: str) -> bool:
-    """Whether the answer says only that it won't or can't help."""
-    if len(answer) > 600 or any(c.isdigit() for c in answer):
-        return False
-    refused = False
-    for s in _SENTENCES.split(answer.strip()):
+    """Whether the answer says only that it won't or can't help, in however many sentences."""
+    refused, answer, at = False, answer.strip(), 0
+    while at < len(answer):
+        seam = _SENTENCES.search(answer, at)
+        s = answer[at : seam.start()] if seam else answer[at:]
+        at = seam.end() if seam else len(answer)
         w = _plain(s)
         if not w:
             continue
-        if _refusals.aligns(w) or (len(w) <= 20 and _REFUSES.search(s.lower().replace("’", "'")) and not re.search(r"\b(?:but|though|pero|mais|however)\b.*\b(?:can|puedo|peux|let me|will)\b", s.lower())):
+        low = s.strip().lower().replace("’", "'")
+        if _refusals.aligns(w) or (m := _REFUSES.search(low)) and _SUBJECT.search(low, 0, m.end()) and not _HELPS.search(low):
             refused = True
-        elif not (_fillers.aligns(w) or re.match(r"(?:dear|hello|hi|hola|bonjour)\b.{0,40}$", s.lower())):
+        elif not (_fillers.aligns(w) or _GREETS.match(low) or _REFERS.fullmatch(low)):
             return False
     return refused
 
