@@ -12,7 +12,7 @@ other_language, truncated; answers too short to tell a language are of none; a p
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -176,10 +176,10 @@ def language_counts(text: str) -> dict[str, int]:
         for lang, script in _SCRIPTS:
             if script.search(text) and (n := len(script.findall(text))) > 0.4 * letters:
                 return {lang: max(3, n // 4)}
-    get = _INDEX.get
-    for w in _TOKENS.findall(text.lower() if plain else text.lower().replace("’", "'")):
-        for lang in get(w, ()):
-            counts[lang] = counts.get(lang, 0) + 1
+    said = Counter(_TOKENS.findall(text.lower() if plain else text.lower().replace("’", "'")))
+    for w in said.keys() & _INDEX.keys():
+        for lang in _INDEX[w]:
+            counts[lang] = counts.get(lang, 0) + said[w]
     if not plain and (n := len(_VIETNAMESE.findall(text))) > 0.08 * letters:
         counts["vi"] = max([0, *counts.values()]) + n
     return counts
@@ -191,7 +191,7 @@ def prompt_language(text: str) -> str | None:
     for s in _SENTENCES.split(text):
         counts = language_counts(s)
         if counts:
-            lang = max(counts, key=lambda k: (counts[k], k == "en"))
+            lang = max(counts, key=lambda k: (counts[k], k == "en", k))
             if lang != "en" and counts[lang] >= 2 and counts[lang] >= 2 * counts.get("en", 0) and (best is None or counts[lang] > best[0]):
                 best = (counts[lang], lang)
     if best:
@@ -207,7 +207,7 @@ def is_foreign(prompt: str, answer: str) -> bool:
     counts = language_counts(answer)
     if not counts:
         return False
-    lang = max(counts, key=lambda k: (counts[k], k == asked))
+    lang = max(counts, key=lambda k: (counts[k], k == asked, k))
     if lang == asked or counts[lang] == 0:
         return False
     # a sentence of five words or more without any function word of the language asked in is in another one
