@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billspark.operators import drift, nested
-from billspark.session import materialize, spread, table
+from billspark.session import spread, table
 
 #: The consistent table of each kind of record: a column's type and the path that it has by its schema.
 TARGETS = {
@@ -40,19 +40,22 @@ def p2_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _changes(raw: DataFrame) -> DataFrame:
-    facts = materialize(drift.flatten_payloads(spread(raw.select("feed", "file_no", "record_id", "payload"))), "p3-facts")
-    return drift.schema_changes(facts)
+    return drift.schema_changes(spread(raw.select("feed", "file_no", "record_id", "payload")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _changes(table(spark, d, "raw_records"))
 
 
+def consistent_target(raw: DataFrame, kind: str) -> dict:
+    """The target of one kind of record, with the names that its fields went under in these records."""
+    return drift.with_aliases(TARGETS[kind], drift.rename_groups(_changes(raw)))
+
+
 def _consistent(spark: SparkSession, d: str, kind: str) -> DataFrame:
     """The records of one kind in one table, under whatever names their fields came."""
     raw = table(spark, d, "raw_records").where(F.col("feed").startswith(kind))
-    target = drift.with_aliases(TARGETS[kind], drift.rename_groups(_changes(raw)))
-    return drift.rescue_ingest(spread(raw), target, keep=["record_id", "feed", "file_no"])
+    return drift.rescue_ingest(spread(raw), consistent_target(raw, kind), keep=["record_id", "feed", "file_no"])
 
 
 def p3_cases(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +71,23 @@ def p3_reviews(spark: SparkSession, d: str) -> DataFrame:
     return _consistent(spark, d, "review")
 
 
-QUERIES = {"p2_found": p2_found, "p2_line_items": p2_line_items, "p2_components": p2_components, "p3_found": p3_found, "p3_cases": p3_cases, "p3_bills": p3_bills, "p3_reviews": p3_reviews}
+#: The child table of the line items of bill records: a column's type and its path below the array of this path.
+LINE_ITEMS = "summary_of_services.line_items"
+LINE_ITEM_FIELDS = {"service_name": "string", "code_type": "string", "code": "string", "quantity": "int", "unit": "string", "billed_amount": "decimal(18,2)", "insurance_payments": "decimal(18,2)", "adjustments": "decimal(18,2)", "patient_balance": "decimal(18,2)"}
+
+
+def p3_bill_items(spark: SparkSession, d: str) -> DataFrame:
+    """The line items of bill records, promoted from what was rescued to a child table of their own."""
+    raw = table(spark, d, "raw_records").where(F.col("feed").startswith("bill"))
+    groups = drift.rename_groups(_changes(raw))
+    target = drift.with_aliases({c: (kind, f"{LINE_ITEMS}[].{c}") for c, kind in LINE_ITEM_FIELDS.items()}, groups)
+    arrays = {LINE_ITEMS: None} | {p.split("[].")[0]: None for _, paths in target.values() for p in paths if p.count("[].") == 1}
+    below = {c: (kind, list(dict.fromkeys(p.split("[].")[1] for p in paths if p.count("[].") == 1))) for c, (kind, paths) in target.items()}
+    bills = drift.rescue_ingest(spread(raw), drift.with_aliases(TARGETS["bill"], groups), keep=["record_id"])
+    return drift.promote_children(bills, list(arrays), below, ["record_id"])
+
+
+QUERIES = {"p2_found": p2_found, "p2_line_items": p2_line_items, "p2_components": p2_components, "p3_found": p3_found, "p3_cases": p3_cases, "p3_bills": p3_bills, "p3_reviews": p3_reviews, "p3_bill_items": p3_bill_items}
 
 _BILLS = "(SELECT * FROM bills QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY loaded_at DESC NULLS LAST) = 1)"
 
