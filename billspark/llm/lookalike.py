@@ -177,18 +177,40 @@ def consistent_form(df: DataFrame, id_column: str = "doc_id", text_column: str =
     return unchanged.unionByName(plain).unionByName(exploded).select(F.col("_id").alias(id_column), F.col("_text").alias("text"), F.col("_form").alias("form"), *carry)
 
 
-def lookalike_pairs(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id_a, doc_id_b) with a < b of texts that look the same and are not the same string.
+def _digests(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, f, t): the 128-bit digests of form and text of each row with both, of forms that different texts have.
 
-    Forms and texts are compared by their 128-bit digests. The digests are written
-    once; groups whose texts are all equal, however large, fall out by a pre-aggregate before any pair is made. Rows of null text or id are in no pair.
+    Groups whose texts are all equal, however large, fall out by a pre-aggregate.
     """
     f = consistent_form(df, id_column, text_column).where(f"form is not null and `{id_column}` is not null")
     d = materialize(f.select(F.col(id_column).alias("id"), F.md5("form").alias("f"), F.md5("text").alias("t")), "forms")
     mixed = d.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi").select("f")
-    m = d.join(mixed, "f", "left_semi")
-    a, b = m.withColumnsRenamed({"id": "doc_id_a", "t": "ta"}), m.withColumnsRenamed({"id": "doc_id_b", "t": "tb"})
-    return a.join(b, "f").where("doc_id_a < doc_id_b and ta != tb").select("doc_id_a", "doc_id_b").distinct()
+    return d.join(mixed, "f", "left_semi")
+
+
+def lookalike_classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, class_id, copies, texts) of each row whose text looks like another one: one row per id.
+
+    ``class_id`` is the smallest id of the same look, ``copies`` the ids of the very same text and ``texts`` the
+    different texts of the look. Rows of null text or id, and of texts without a look-alike, are in no class.
+    """
+    d = _digests(df, id_column, text_column).distinct()
+    texts = d.groupBy("f", "t").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
+    looks = texts.groupBy("f").agg(F.min("first").alias("class_id"), F.count("*").alias("texts"))
+    return d.join(texts.select("f", "t", "copies"), ["f", "t"]).join(looks, "f").groupBy(F.col("id").alias(id_column)).agg(F.min("class_id").alias("class_id"), F.max("copies").alias("copies"), F.max("texts").alias("texts"))
+
+
+def lookalike_pairs(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id_a, doc_id_b) with a < b of texts that look the same and are not the same string.
+
+    Different texts of one form are paired, and only then are the ids of each text put in, so that many copies of a
+    text make no pairs but those that are asked for. Rows of null text or id are in no pair.
+    """
+    d = _digests(df, id_column, text_column)
+    texts = d.select("f", "t").distinct()
+    pairs = texts.withColumnRenamed("t", "ta").join(texts.withColumnRenamed("t", "tb"), "f").where("ta < tb").select("ta", "tb")
+    ids = pairs.join(d.select(F.col("t").alias("ta"), F.col("id").alias("a")), "ta").join(d.select(F.col("t").alias("tb"), F.col("id").alias("b")), "tb").where("a != b")
+    return ids.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
 
 
 def canonical(text: str | None) -> str | None:

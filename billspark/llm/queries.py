@@ -113,5 +113,32 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_defects": p4_defects, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found}
-SQL: dict[str, str] = {}
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document that has a look-alike: its class, the copies of its text and the different texts of the class."""
+    return lookalike.lookalike_classes(spread(table(spark, d, "documents").select("doc_id", "text")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_defects": p4_defects, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_classes": p8_classes}
+
+# Fixed values of the SQL, apart from the operator's tables: what can't be seen, spaces, and letters by their look.
+_UNSEEN = "[\\x{AD}\\x{34F}\\x{61C}\\x{180B}-\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{206F}\\x{FE00}-\\x{FE0F}\\x{FEFF}]"
+_SPACES = "[\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]"
+_LOOKS = "‐‑аеорсухѕіјһԁԛԝАВЕЅІЈКМНОРСТУХοΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "".join(map(chr, range(0xFF01, 0xFF5F)))
+_LATIN = "--aeopcyxsijhdqwABESIJKMHOPCTYXoABEZHIKMNOPTYX" + "".join(map(chr, range(0x21, 0x7F)))
+_LIGATURES = [("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬅ", "st"), ("ﬆ", "st")]
+
+
+def _form_sql() -> str:
+    seen = f"regexp_replace(regexp_replace(text, '{_UNSEEN}', '', 'g'), '{_SPACES}', ' ', 'g')"
+    for a, b in _LIGATURES:
+        seen = f"replace({seen}, '{a}', '{b}')"
+    quoted = [x.replace("'", "''") for x in (_LOOKS, _LATIN)]
+    return f"SELECT doc_id, text, nfc_normalize(translate({seen}, '{quoted[0]}', '{quoted[1]}')) AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL"
+
+
+SQL: dict[str, str] = {
+    "p8_found": f"WITH f AS ({_form_sql()}) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text != b.text",
+    "p8_classes": f"""WITH f AS ({_form_sql()}), t AS (SELECT form, text, count(DISTINCT doc_id) AS copies, min(doc_id) AS first FROM f GROUP BY ALL),
+      l AS (SELECT form, min(first) AS class_id, count(*) AS texts FROM t GROUP BY form HAVING count(*) > 1)
+      SELECT doc_id, min(class_id) AS class_id, max(copies) AS copies, max(texts) AS texts FROM f JOIN t USING (form, text) JOIN l USING (form) GROUP BY doc_id""",
+}

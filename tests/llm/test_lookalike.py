@@ -57,3 +57,14 @@ def test_nulls_repeats_empty(spark):
 def test_long_text(spark):
     long = "éﬁ х " * 20_000
     assert forms(spark, [long])[0] == L.canonical(long)
+
+
+def test_many_copies_and_one_variant(spark):
+    """20,000 copies of a text and two variants: the pairs of the variants, nothing of the copies among each other."""
+    rows = [(i, "A standard sentence that stands everywhere.") for i in range(20_000)] + [(30_000, "A standard\u00a0sentence that stands everywhere."), (30_001, "\u0410 standard sentence that stands everywhere."), (30_001, "\u0410 standard sentence that stands everywhere."), (30_002, None), (None, "A standard\u00a0sentence that stands everywhere.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = L.lookalike_pairs(df)
+    assert pairs.count() == 40_001 and pairs.where("doc_id_a = 7").count() == 2 and pairs.where("doc_id_a >= doc_id_b").count() == 0
+    c = {r["doc_id"]: (r["class_id"], r["copies"], r["texts"]) for r in L.lookalike_classes(df).collect()}
+    assert len(c) == 20_002 and c[5] == (0, 20_000, 3) and c[30_001] == (0, 1, 3)
+    assert L.lookalike_classes(df.limit(0)).count() == 0 and L.lookalike_pairs(df.limit(0)).count() == 0
