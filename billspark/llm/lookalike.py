@@ -104,6 +104,14 @@ def joined() -> str:
     return "".join(c for c, to in full.items() if c not in single and len(unicodedata.normalize("NFC", to)) > 1)
 
 
+@cache
+def steady() -> str:
+    """Code points of Western letters, punctuation, symbols and pictures that are their own form, whatever stands beside them."""
+    _, full, _ = mapping()
+    near = map(chr, [*range(0x80, 0x250), *range(0x2010, 0x2100), *range(0x1F000, 0x1FB00)])
+    return "".join(c for c in near if not unicodedata.combining(c) and unicodedata.category(c) not in ("Mn", "Mc", "Me") and unicodedata.normalize("NFC", full.get(c, c)) == c)
+
+
 def _class(chars: str) -> str:
     """A character class of a Java pattern, by ranges."""
     out, codes = [], sorted(map(ord, chars))
@@ -142,10 +150,12 @@ def consistent_form(df: DataFrame, id_column: str = "doc_id", text_column: str =
     kept = "".join(k for k, v in single.items() if v)
     # most texts have no character beyond ASCII, which the lengths in bytes and characters tell
     ascii_ = F.octet_length("_text") == F.char_length("_text")
-    unchanged = base.where(ascii_ | F.col("_text").isNull()).select("_id", "_text", F.col("_text").alias("_form"), *carry)
+    # and most of the others have none that changes
+    same = ascii_ | ~F.col("_text").rlike(f"[^\\x{{0}}-\\x{{7f}}{_class(steady())}]")
+    unchanged = base.where(same | F.col("_text").isNull()).select("_id", "_text", F.col("_text").alias("_form"), *carry)
     # as a generator's output the translated text is computed once, not again for each filter on it
     once = F.inline(F.array(F.struct(F.translate("_text", kept + gone, "".join(single[k] for k in kept)).alias("_t"))))
-    t = base.where(~ascii_).select("*", once)
+    t = base.where(~same).select("*", once)
     special = _class(joined())
     marked = F.col("_t").rlike(f"[\\p{{M}}\\x{{1100}}-\\x{{11ff}}{special}]")
     plain = t.where(~marked).select("_id", "_text", F.col("_t").alias("_form"), *carry)

@@ -123,8 +123,8 @@ QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4
 # Fixed values of the SQL, apart from the operator's tables: what can't be seen, spaces, and letters by their look.
 _UNSEEN = "[\\x{AD}\\x{34F}\\x{61C}\\x{180B}-\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{206F}\\x{FE00}-\\x{FE0F}\\x{FEFF}]"
 _SPACES = "[\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]"
-_LOOKS = "‐‑аеорсухѕіјһԁԛԝАВЕЅІЈКМНОРСТУХοΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "".join(map(chr, range(0xFF01, 0xFF5F)))
-_LATIN = "--aeopcyxsijhdqwABESIJKMHOPCTYXoABEZHIKMNOPTYX" + "".join(map(chr, range(0x21, 0x7F)))
+_LOOKS = "‐‑ёЁїЇаеорсухѕіјһԁԛԝАВЕЅІЈКМНОРСТУХοΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "".join(map(chr, range(0xFF01, 0xFF5F)))
+_LATIN = "--ëËïÏaeopcyxsijhdqwABESIJKMHOPCTYXoABEZHIKMNOPTYX" + "".join(map(chr, range(0x21, 0x7F)))
 _LIGATURES = [("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬅ", "st"), ("ﬆ", "st")]
 
 
