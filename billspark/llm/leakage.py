@@ -19,12 +19,15 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billspark.llm.lookalike import canonical
+from billspark.session import materialize
 
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
@@ -92,30 +95,54 @@ def outward(a: Sequence[int], b: Sequence[int], most: int) -> list[tuple[int, in
     return out
 
 
+def own_words(n: int, starts: Iterable[int], shared: int) -> list[bool]:
+    """Of the ``n`` words of an item, those that are in none of the shared runs with these starts."""
+    own = [True] * n
+    for k in starts:
+        own[k : k + shared] = [False] * shared
+    return own
+
+
+def explained(blocks: dict[int, list[tuple[int, int, int]]]) -> dict[int, int]:
+    """Words kept of each item; words of the document that a better match explains don't count for items of similar wording."""
+    out: dict[int, int] = {}
+    taken = bytearray(max((p1 for b in blocks.values() for _, _, p1 in b), default=0))
+    for i in sorted(blocks, key=lambda i: (-sum(x[0] for x in blocks[i]), i)):
+        total = sum(max(0, n - taken.count(1, p0, p1)) for n, p0, p1 in blocks[i])
+        for _, p0, p1 in blocks[i]:
+            taken[p0:p1] = b"\1" * (p1 - p0)
+        if total:
+            out[i] = total
+    return out
+
+
 class ItemIndex:
     """Pieces of a bounded set of items; see the module for the parameters."""
 
-    def __init__(self, items: Iterable[tuple[int, str | None]], passage: int = 20, errors: int = 5, shared: int = 12):
+    def __init__(self, items: Iterable[tuple], passage: int = 20, errors: int = 5, shared: int = 12):
+        """``items`` are (id, text), or (id, text, facts) where ``item_facts`` has told of all items what else these tell
+        of themselves: the starts of shared runs, and at each place the words from which on a run stands in few items."""
         self.size, self.passage, self.errors = max(1, passage // (errors + 1)), passage, errors
         self.vocabulary: dict[str, int] = {}
         self.items: dict[int, list[int]] = {}
-        for i, text in items:
+        self.facts: dict[int, tuple[Sequence[int], dict[int, int]]] = {}
+        for i, text, *facts in items:
             self.items[i] = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
+            if facts:
+                self.facts[i] = facts[0]
         first: dict[tuple[int, ...], int] = {}
         #: Items of the same words are matched once and reported together.
         self.equal: dict[int, list[int]] = defaultdict(list)
         for i, ids in self.items.items():
             self.equal[first.setdefault(tuple(ids), i)].append(i)
         self.items = {i: self.items[i] for i in self.equal}
-        runs = Counter(g for ids in map(tuple, self.items.values()) for g in {ids[k : k + shared] for k in range(len(ids) - shared + 1)})
+        runs = Counter() if self.facts else Counter(g for ids in map(tuple, self.items.values()) for g in {ids[k : k + shared] for k in range(len(ids) - shared + 1)})
         #: For each word of an item, the ends of the run of own words that it stands in.
         self.runs: dict[int, list[tuple[int, int]]] = {}
         self.pieces: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for i, ids in self.items.items():
-            own = [True] * len(ids)
-            for k in range(len(ids) - shared + 1):
-                if runs[tuple(ids[k : k + shared])] > 1:
-                    own[k : k + shared] = [False] * shared
+            starts = self.facts[i][0] if self.facts else [k for k in range(len(ids) - shared + 1) if runs[tuple(ids[k : k + shared])] > 1]
+            own = own_words(len(ids), starts, shared)
             ends, start = [(0, 0)] * len(own), 0
             for k in range(1, len(own) + 1):
                 if k == len(own) or own[k] != own[start]:
@@ -126,8 +153,8 @@ class ItemIndex:
                 if all(own[k : k + self.size]):
                     self.pieces[tuple(ids[k : k + self.size])].append((i, k))
 
-    def kept(self, text: str | None, gap: int = 8, worst: float = 0.45, few: int = 4) -> dict[int, int]:
-        """Words that the document keeps of each item that it touches."""
+    def blocks(self, text: str | None, gap: int = 8, worst: float = 0.45, few: int = 4) -> dict[int, list[tuple[int, int, int]]]:
+        """(words kept, first and last place in the document) of each block of each item that the document touches."""
         get, size = self.vocabulary.get, self.size
         doc = [get(w, -1) for w in words(text)]
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -137,19 +164,12 @@ class ItemIndex:
             if found:
                 for i, q in found:
                     hits[i].append((q, p))
-        blocks = {i: self._blocks(i, doc, sorted(found), gap, worst, few) for i, found in hits.items()}
-        # words of the document that a better match explains don't count for items of similar wording
-        out: dict[int, int] = {}
-        taken = bytearray(len(doc))
-        for i in sorted(blocks, key=lambda i: (-sum(x[0] for x in blocks[i]), i)):
-            total = 0
-            for n, p0, p1 in blocks[i]:
-                total += max(0, n - sum(taken[p0:p1]))
-            for n, p0, p1 in blocks[i]:
-                taken[p0:p1] = b"\1" * (p1 - p0)
-            if total:
-                out |= dict.fromkeys(self.equal[i], total)
-        return out
+        out = {i: self._blocks(i, doc, sorted(found), gap, worst, few) for i, found in hits.items()}
+        return {i: b for i, b in out.items() if b}
+
+    def kept(self, text: str | None, **parameters) -> dict[int, int]:
+        """Words that the document keeps of each item that it touches."""
+        return {j: n for i, n in explained(self.blocks(text, **parameters)).items() for j in self.equal[i]}
 
     def _runs(self, hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         """(place in the item, in the document, words) of the longest runs of hits."""
@@ -164,6 +184,8 @@ class ItemIndex:
 
     def _in_few(self, i: int, q: int, n: int, few: int) -> bool:
         """Whether the ``n`` words of an item at ``q`` stand in ``few`` items at most."""
+        if self.facts:
+            return n >= self.facts[i][1].get(q, self.size)
         run = self.items[i][q : q + n]
         at = min((self.pieces[tuple(run[k : k + self.size])] for k in range(n - self.size + 1)), key=len)
         if len(at) <= few:
@@ -227,12 +249,53 @@ class ItemIndex:
         return out
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: int = 13, block_chars: int = 8_000_000, **parameters) -> DataFrame:
+def _hash(gram: Sequence[str]) -> int:
+    h = xxhash.xxh64_intdigest("\0".join(gram))
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def item_facts(rows: DataFrame, size: int, shared: int, few: int) -> DataFrame:
+    """(i, t, starts, needs) of the first of each items (i, t, key) of the same words, told of all of them.
+
+    ``starts`` are the starts of runs of ``shared`` words that stand in several items of different words. ``needs`` has
+    for each place the least number of words, from ``size`` on, whose run from there stands in ``few`` items at most;
+    a run of ``shared`` own words stands in one. Aggregates over hashes of runs; what is collected by item is of its length.
+    """
+
+    def grams(batches: Iterable[pd.DataFrame], lengths: Sequence[int] = (shared,)) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, t, starts in zip(b["i"], b["t"], b["starts"]):
+                w = words(t)
+                own = own_words(len(w), starts if starts is not None else (), shared)
+                for q in range(len(w)):
+                    if starts is None or all(own[q : q + size]):
+                        out += [(i, q, n, _hash(w[q : q + n])) for n in lengths if q + n <= len(w)]
+            yield pd.DataFrame(out, columns=["i", "q", "n", "h"])
+
+    def every(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return grams(batches, range(size, shared))
+
+    schema = "i bigint, q int, n int, h bigint"
+    first = rows.groupBy("key").agg(F.min_by("t", "i").alias("t"), F.min("i").alias("i"))
+    runs = first.select("i", "t", F.lit(None).cast("array<int>").alias("starts")).mapInPandas(grams, schema)
+    several = runs.groupBy("n", "h").agg(F.count_distinct("i").alias("items")).where("items > 1").select("n", "h")
+    starts = runs.join(several, ["n", "h"]).groupBy("i").agg(F.array_sort(F.collect_set("q")).alias("starts"))
+    known = materialize(first.join(starts, "i", "left").select("key", "i", "t", F.coalesce("starts", F.array().cast("array<int>")).alias("starts")), "starts")
+    own = known.select("i", "t", "starts").mapInPandas(every, schema)
+    many = own.groupBy("n", "h").agg(F.count_distinct("i").alias("items")).where(F.col("items") > few).select("n", "h")
+    # the longest run from a place that stands in many items, and one word more
+    needs = own.join(many, ["n", "h"]).groupBy("i", "q").agg((F.max("n") + 1).alias("need")).groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("q", "need"))).alias("needs"))
+    return known.join(needs, "i", "left").select("i", "t", "starts", "needs")
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: int = 13, block_chars: int = 8_000_000, few: int = 4, **parameters) -> DataFrame:
     """(doc_id, item_id, words_kept) of each document that keeps ``least`` words of an item's own wording.
 
-    No shuffle of the corpus. The items are the stated query set; they are broadcast in blocks of at most
-    ``block_chars`` characters, each of which goes over all documents, so that what is sent has a bound whatever
-    their number. Runs shared between items are told within a block.
+    The items are the stated query set. Up to ``block_chars`` characters of them are broadcast at once, and the corpus
+    is not shuffled. More items go over the documents in blocks of that size, so that what is sent has a bound whatever
+    their number; what they share is told of all items before, and the blocks found in a document are brought together
+    and compared after, so that the outcome doesn't depend on the size of the blocks.
     """
     spark = documents.sparkSession
     rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(text).alias("t")).distinct()
@@ -240,18 +303,55 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     n_blocks = max(1, -(-sized // block_chars))
     kind = documents.schema[doc_id].dataType.simpleString()
     docs = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    out = None
+    if n_blocks == 1:
+        shared = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in rows.collect()])
+
+        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = ItemIndex(sorted(shared.value), **parameters)
+            for b in batches:
+                out = [(d, i, n) for d, t in zip(b["d"], b["t"]) for i, n in index.kept(t, few=few).items() if n >= least]
+                if out:
+                    yield pd.DataFrame(out, columns=["d", "i", "n"])
+
+        found = docs.mapInPandas(run, f"d {kind}, i bigint, n int")
+    else:
+        found = _in_blocks(docs, rows, n_blocks, kind, least, few, parameters)
+    return found.groupBy(F.col("d").alias(doc_id), F.col("i").alias(item_id)).agg(F.max("n").alias("words_kept"))
+
+
+def _in_blocks(docs: DataFrame, rows: DataFrame, n_blocks: int, kind: str, least: int, few: int, parameters: dict) -> DataFrame:
+    spark = docs.sparkSession
+    size = max(1, parameters.get("passage", 20) // (parameters.get("errors", 5) + 1))
+
+    @F.pandas_udf("string")
+    def said(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: "\0".join(words(x)))
+
+    keyed = materialize(rows.withColumn("key", F.md5(said("t"))), "items")
+    facts = materialize(item_facts(keyed, size, parameters.get("shared", 12), few), "facts")
+    texts = docs.select(F.md5("t").alias("k"), "t")
+    parts = []
     for block in range(n_blocks):
-        part = rows if n_blocks == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == block)
-        shared = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part.collect()])
+        part = facts.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == block).collect()
+        shared = spark.sparkContext.broadcast([(r["i"], r["t"], (r["starts"], r["needs"] or {})) for r in part])
 
         def run(batches: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = ItemIndex(shared.value, **parameters)
             for b in batches:
-                rows = [(d, i, n) for d, t in zip(b["d"], b["t"]) for i, n in index.kept(t).items() if n >= least]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["d", "i", "n"])
+                out = [(k, i, n, p0, p1) for k, t in zip(b["k"], b["t"]) for i, blocks in index.blocks(t, few=few).items() for n, p0, p1 in blocks]
+                if out:
+                    yield pd.DataFrame(out, columns=["k", "i", "n", "p0", "p1"])
 
-        found = docs.mapInPandas(run, f"d {kind}, i bigint, n int")
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy(F.col("d").alias(doc_id), F.col("i").alias(item_id)).agg(F.max("n").alias("words_kept"))
+        parts.append(texts.mapInPandas(run, "k string, i bigint, n int, p0 int, p1 int"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for i, n, p0, p1 in zip(pdf["i"], pdf["n"], pdf["p0"], pdf["p1"]):
+            blocks[i].append((n, p0, p1))
+        return pd.DataFrame([(pdf["k"].iloc[0], i, n) for i, n in explained(blocks).items() if n >= least], columns=["k", "first", "n"])
+
+    # the blocks of one text, as many as it has passages, are compared together
+    kept = reduce(DataFrame.unionByName, parts).distinct().groupBy("k").applyInPandas(compare, "k string, first bigint, n int")
+    firsts = keyed.groupBy("key").agg(F.min("i").alias("first"))
+    named = kept.join(firsts, "first").join(keyed.select("key", "i"), "key").select("k", "i", "n")
+    return docs.select("d", F.md5("t").alias("k")).join(named, "k").select("d", "i", "n")

@@ -59,7 +59,8 @@ def test_planted(spark):
             docs.append((n, f"{' '.join(w[:14])}. {FILL} {FILL}. {' '.join(w[25:39])} {FILL} {' '.join(other.split()[:50])}"))
             want |= {(n, i), (n, j)}
     assert found(spark, docs) == want
-    assert found(spark, docs, block_chars=2000) >= want
+    for chars in (2000, 10_000):
+        assert found(spark, docs, block_chars=chars) == want
 
 
 def test_spacing_and_letters(spark):
@@ -111,3 +112,17 @@ def test_outward(a, b):
     want = [min(plain(a[:k], b[:j]) for j in range(len(b) + 1)) for k in range(len(a) + 1)]
     assert [x for x, _ in got] == want[: len(got)] and all(x > 5 for x in want[len(got) :])
     assert all(plain(a[:k], b[:j]) == x for k, (x, j) in enumerate(got))
+
+
+def test_blocks_of_items_change_nothing(spark):
+    """Standard sentences, items of similar wording, equal items and phrases of many items, in one block or in many."""
+    R = random.Random(11)
+    standard = " ".join(R.sample(WORDS, 16))
+    base = [R.sample(WORDS, 45) for _ in range(6)]
+    items = [(k, f"{' '.join(base[k % 6][: 20 + k])} {standard} {' '.join(R.sample(WORDS, 30))}") for k in range(18)]
+    items += [(100 + k, items[k][1].upper()) for k in range(3)] + [(200 + k, f"{' '.join(base[0][3:8])} {' '.join(R.sample(WORDS, 30))}") for k in range(8)]
+    docs = [(1, standard), (2, f"{FILL} {' '.join(base[1][:30])} {standard}"), (3, items[2][1]), (3, items[2][1]), (4, " ".join(items[k][1] for k in (0, 6, 12))), (5, " ".join(base[0][3:8] + ["zz"] + base[0][9:14])), (6, None), (7, items[205 - 200 + 21][1])]
+    df, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, *others = ({tuple(r) for r in L.leaked_items(df, t, block_chars=n).collect()} for n in (10**9, 3000, 700))
+    assert one and all(x == one for x in others)
+    assert not any(d == 1 for d, _, _ in one) and {i for d, i, _ in one if d == 3} >= {2, 102}
