@@ -53,6 +53,23 @@ def test_repeats_that_merge_both_ways(auto, library):
         assert auto.encode(t) == library(t)
 
 
+def test_tables_start_anew(library):
+    small = T.MergeAutomaton(T.read_ranks(T.DEFAULT_VOCABULARY), memo_size=1, table_size=50)
+    r = random.Random(8)
+    for _ in range(200):
+        t = " ".join("".join(r.choice("etaoinshr") for _ in range(r.randrange(1, 14))) for _ in range(6))
+        assert small.encode(t) == library(t)
+    assert len(small.table) <= 50 + 14 and len(small.states) == len(small.last)
+
+
+def test_worker_compiles_once(auto):
+    import pickle
+
+    ranks = {b"a": 0, b"b": 1, b"ab": 2}
+    load = pickle.loads(pickle.dumps(T.worker_automaton))
+    assert load(T.digest(ranks), ranks) is T.worker_automaton(T.digest(dict(ranks)), dict(ranks))
+
+
 def test_small_vocabulary_without_a_byte():
     a = T.MergeAutomaton({b"a": 0, b"b": 1, b"ab": 2, b"abab": 3})
     assert a.encode("ababab") == [3, 2] and a.encode("ba") == [1, 0]
