@@ -153,8 +153,24 @@ class ItemIndex:
                 if all(own[k : k + self.size]):
                     self.pieces[tuple(ids[k : k + self.size])].append((i, k))
 
-    def blocks(self, text: str | None, gap: int = 8, worst: float = 0.45, few: int = 4) -> dict[int, list[tuple[int, int, int]]]:
-        """(words kept, first and last place in the document) of each block of each item that the document touches."""
+    def enough(self, least: int, gap: int) -> int:
+        """The hits that an item needs at least to keep ``least`` words.
+
+        A block of h hits spans up to (gap + size) (h - 1) + size words, and words kept in r runs make as many hits as
+        they are more than (size - 1) r. A passage has passage - errors words in errors + 1 runs at most.
+        """
+        size = self.size
+        h = 1
+        while max(min(h + (size - 1) * r, (gap + size) * (h - 1) + size + 1 - r) for r in range(1, h * (gap + size) + 1)) < least:
+            h += 1
+        return max(1, min(h, self.passage - self.errors - (size - 1) * (self.errors + 1)))
+
+    def blocks(self, text: str | None, gap: int = 8, worst: float = 0.45, few: int = 4, least: int = 1) -> dict[int, list[tuple[int, int, int]]]:
+        """(words kept, first and last place in the document) of each block of each item that may keep ``least`` words.
+
+        What keeps fewer explains no word of an item that keeps as many, as better matches go first.
+        """
+        enough = self.enough(least, gap)
         get, size = self.vocabulary.get, self.size
         doc = [get(w, -1) for w in words(text)]
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -164,7 +180,7 @@ class ItemIndex:
             if found:
                 for i, q in found:
                     hits[i].append((q, p))
-        out = {i: self._blocks(i, doc, sorted(found), gap, worst, few) for i, found in hits.items()}
+        out = {i: self._blocks(i, doc, sorted(found), gap, worst, few) for i, found in hits.items() if len(found) >= enough}
         return {i: b for i, b in out.items() if b}
 
     def kept(self, text: str | None, **parameters) -> dict[int, int]:
@@ -309,7 +325,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
         def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = ItemIndex(sorted(shared.value), **parameters)
             for b in batches:
-                out = [(d, i, n) for d, t in zip(b["d"], b["t"]) for i, n in index.kept(t, few=few).items() if n >= least]
+                out = [(d, i, n) for d, t in zip(b["d"], b["t"]) for i, n in index.kept(t, few=few, least=least).items() if n >= least]
                 if out:
                     yield pd.DataFrame(out, columns=["d", "i", "n"])
 
@@ -338,7 +354,7 @@ def _in_blocks(docs: DataFrame, rows: DataFrame, n_blocks: int, kind: str, least
         def run(batches: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = ItemIndex(shared.value, **parameters)
             for b in batches:
-                out = [(k, i, n, p0, p1) for k, t in zip(b["k"], b["t"]) for i, blocks in index.blocks(t, few=few).items() for n, p0, p1 in blocks]
+                out = [(k, i, n, p0, p1) for k, t in zip(b["k"], b["t"]) for i, blocks in index.blocks(t, few=few, least=least).items() for n, p0, p1 in blocks]
                 if out:
                     yield pd.DataFrame(out, columns=["k", "i", "n", "p0", "p1"])
 

@@ -12,6 +12,7 @@ invisible character disappears, also in an emoji sequence; the empty text stays
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import cache
@@ -223,10 +224,13 @@ def lookalike_pairs(df: DataFrame, id_column: str = "doc_id", text_column: str =
     return ids.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
 
 
+@cache
+def _changing() -> re.Pattern:
+    return re.compile("[^\0-\x7f" + "".join(map(re.escape, steady())) + "]")
+
+
 def canonical(text: str | None) -> str | None:
     """The form of one string, for tests and for operators that normalise texts in Python."""
-    if text is None:
-        return None
-    if text.isascii():
+    if text is None or text.isascii() or not _changing().search(text):
         return text
     return unicodedata.normalize("NFC", "".join(expand(c) if ord(c) > 127 else c for c in text))

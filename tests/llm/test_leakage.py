@@ -126,3 +126,17 @@ def test_blocks_of_items_change_nothing(spark):
     one, *others = ({tuple(r) for r in L.leaked_items(df, t, block_chars=n).collect()} for n in (10**9, 3000, 700))
     assert one and all(x == one for x in others)
     assert not any(d == 1 for d, _, _ in one) and {i for d, i, _ in one if d == 3} >= {2, 102}
+
+
+def test_few_hits_are_left_out_without_loss():
+    """What an item keeps with ``least`` words asked for is what it keeps without, whenever it keeps as many."""
+    R = random.Random(21)
+    index = L.ItemIndex(ITEMS)
+    assert index.enough(13, 8) == 3 and index.enough(1, 8) == 1
+    for n in range(400):
+        w = ITEMS[n % 30][1].split()
+        at, k = R.randrange(30), R.randrange(4, 30)
+        part = [x if R.random() > 0.3 else R.choice(WORDS) for x in w[at : at + k]]
+        text = f"{FILL} {' '.join(part)} {' '.join(R.sample(WORDS, 10))} {' '.join(ITEMS[(n + 3) % 30][1].split()[2 : 2 + R.randrange(20)])}"
+        a, b = ({i: n for i, n in index.kept(text, least=x).items() if n >= 13} for x in (1, 13))
+        assert a == b
