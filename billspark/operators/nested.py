@@ -33,12 +33,13 @@ class ArrayLevel:
 def infer_merged_schema(payloads: DataFrame, column: str) -> T.StructType:
     """The schema of all valid JSON objects in a string column, merged: fields of any record, widest type.
 
+    A field of different types in different records is a string, which holds the JSON of them all.
     One aggregate row, of the schema's size, comes to the driver.
     """
     ddl = payloads.select(F.schema_of_variant_agg(F.try_parse_json(column)).alias("s")).head()["s"]
     if not ddl or not ddl.startswith("OBJECT"):
         return T.StructType([])
-    return T._parse_datatype_string(ddl.replace("OBJECT<", "STRUCT<"))
+    return T._parse_datatype_string(ddl.replace("OBJECT<", "STRUCT<").replace(": VARIANT", ": STRING").replace("<VARIANT>", "<STRING>"))
 
 
 def nested_arrays(schema: T.StructType, prefix: str = "", above: tuple[str, ...] = ()) -> list[ArrayLevel]:
@@ -121,16 +122,28 @@ def explode_levels(df: DataFrame, key: str, levels: list[ArrayLevel], content: b
     return per.select(key, F.inline_outer("_rows")).where("child_path is not null")
 
 
+def surrogate_key(df: DataFrame, key: str) -> Column:
+    """The key of a record as a string, or of one without it the hash of its content."""
+    rest = [c for c in df.columns if c != key]
+    content = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in rest]) if rest else F.lit(0)
+    return F.coalesce(F.col(f"`{key}`").cast("string"), F.concat(F.lit("#"), content.cast("string")))
+
+
+def _child_key(parent: str, places: Column) -> Column:
+    return F.concat_ws("/", F.col(parent), F.transform(places, lambda i: i.cast("string")))
+
+
 def object_links(df: DataFrame, key: str) -> DataFrame:
-    """(key, child_path, child_no, sub_no) of each non-null object in the arrays of objects of ``df``, once per key.
+    """(key, row_key, child_path, ordinals) of each non-null object in the arrays of objects of ``df``, once each.
 
-    The keys of all child tables from one scan; repeated deliveries fall together in the partial aggregate before the
-    one shuffle. ``child_no`` is the place in the outermost array and ``sub_no`` in the array below it, 0 where there
-    is none; arrays more than two levels deep are numbered by the outermost and the innermost place.
+    The surrogate keys of the rows of all child tables of ``normalize``, at any depth, from one scan; ``ordinals`` are
+    the places from the outermost array inwards. Repeated deliveries fall together in the partial aggregate before
+    the one shuffle.
     """
-    rows = explode_levels(df, key, nested_arrays(df.schema))
-    deep = F.size("ordinals") > 1
-    return rows.select(key, "child_path", F.element_at("ordinals", 1).alias("child_no"), F.when(deep, F.element_at("ordinals", -1)).otherwise(F.lit(0).cast("bigint")).alias("sub_no")).distinct()
+    keyed = df.select(F.struct(F.col(f"`{key}`").alias("key"), surrogate_key(df, key).alias("row")).alias("_key"), *[F.col(f"`{c}`") for c in df.columns if c != key])
+    rows = explode_levels(keyed, "_key", nested_arrays(df.schema))
+    links = rows.select(F.col("_key.key").alias(key), F.col("_key.row").alias("_row"), "child_path", "ordinals").distinct()
+    return links.select(key, _child_key("_row", F.col("ordinals")).alias("row_key"), "child_path", "ordinals")
 
 
 def normalize(df: DataFrame, key: str, loaded_at: str | None = None) -> dict[str, DataFrame]:
@@ -141,15 +154,12 @@ def normalize(df: DataFrame, key: str, loaded_at: str | None = None) -> dict[str
     array inwards. Inner structs of a row become columns joined by ``_``; arrays of plain values stay arrays.
     """
     base = latest_delivery(df, key, loaded_at) if key in df.columns else df
-    parent_cols = [c for c in base.columns if c != key]
-    content = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in parent_cols]) if parent_cols else F.lit(0)
-    keyed = base.withColumn("_row_key", F.coalesce(F.col(f"`{key}`").cast("string"), F.concat(F.lit("#"), content.cast("string"))))
+    keyed = base.withColumn("_row_key", surrogate_key(base, key))
     tables = {"": keyed.select(F.col("_row_key").alias("row_key"), *_leaves(df.schema, None))}
-    name = lambda places: F.concat_ws("/", F.col("_row_key"), F.transform(places, lambda i: i.cast("string")))
     for level in nested_arrays(df.schema):
         rows = explode_levels(keyed, "_row_key", [level], content=True)
         above = F.slice("ordinals", F.lit(1), F.size("ordinals") - 1)
-        tables[level.path] = rows.select(name(above).alias("parent_key"), name(F.col("ordinals")).alias("row_key"), "ordinals", *_leaves(level.element, F.col("content").getField("_0")))
+        tables[level.path] = rows.select(_child_key("_row_key", above).alias("parent_key"), _child_key("_row_key", F.col("ordinals")).alias("row_key"), "ordinals", *_leaves(level.element, F.col("content").getField("_0")))
     return tables
 
 

@@ -21,6 +21,29 @@ def redact_reviews(spark: SparkSession, d: str) -> DataFrame:
     return t.select("review_id", privacy.redact(F.col("patient_input")).alias("redacted"), privacy.has_identifiers(F.col("patient_input")).alias("has_identifiers"))
 
 
+#: Texts with every kind of identifier, which the tables hold only in part.
+NOTES = [
+    (1, "My SSN is 123-45-6789, MRN: AB12345 and DOB 1/2/1980."), (2, "patient phone: (541) 555-0146, guarantor cell +1 541.555.0146"), (3, "Account # PA-2024-00001, guarantor account number GU-00321"), (4, '{"patient_name": "Ann Lee", "account_number" : "X1", "note": "date of birth is 1980-02-03"}'),
+    (5, '{"guarantor_name":"Bo Ek","guarantor_account_number":"G-9","patient_account_number":""}'), (6, "a.b+c@mail.example or medical record number 00912345"), (7, "my account balance is $40"), (8, ""), (9, None), (10, "Is this charge valid? MRN 1234567"), (11, "[REDACTED:SSN] and MRN#12345"),
+]
+
+
+def redact_notes(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.filter_then_redact(spark.createDataFrame(NOTES, "note_id bigint, text string"), "note_id", "text")
+
+
+def filter_then_redact(spark: SparkSession, d: str) -> DataFrame:
+    """What patients write: stopped by the filter, or redacted."""
+    return privacy.filter_then_redact(_reviews(spark, d, "patient_input"), "review_id", "patient_input")
+
+
+def redact_bills(spark: SparkSession, d: str) -> DataFrame:
+    """Bills with redacted texts at every depth: who they are for, and their notes."""
+    b = bills(spark, d, "patient", "guarantor", "_note", "patient_services")
+    r = b.select("bill_id", *[privacy.redact_nested(F.col(c), b.schema[c].dataType).alias(c) for c in ("patient", "guarantor", "_note", "patient_services")])
+    return r.select("bill_id", "patient.patient_name", "patient.patient_account_number", "patient.service_date", "guarantor.guarantor_name", F.col("_note").alias("note"), "patient_services.mail")
+
+
 def content_filter(spark: SparkSession, d: str) -> DataFrame:
     return privacy.blocked_terms(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
@@ -145,17 +168,32 @@ def agent_copy(spark: SparkSession, d: str) -> DataFrame:
     return flat.select("bill_id", "bill_file", "facility_name", "patient_patient_name", "insurance_primary", F.col("total_amount_due").cast("double").alias("total_amount_due"))
 
 
-QUERIES = {f.__name__: f for f in (redact_reviews, content_filter, grounding_claims, grounding_summary, line_recall, variant_recall, history_last_known, latest_file_mention, sse_roundtrip, tool_call_assembly, clean_texts, ocr_gate, ocr_lines, ocr_cells, row_islands, agent_copy)}
+QUERIES = {f.__name__: f for f in (redact_reviews, redact_notes, filter_then_redact, redact_bills, content_filter, grounding_claims, grounding_summary, line_recall, variant_recall, history_last_known, latest_file_mention, sse_roundtrip, tool_call_assembly, clean_texts, ocr_gate, ocr_lines, ocr_cells, row_islands, agent_copy)}
 
 _R = "(SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY loaded_at DESC NULLS LAST) = 1)"
 
 
+# The SQL's own wording of the shapes, apart from the operator's tables.
+_IDENTIFIERS = [
+    ("SSN", "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b"), ("MRN", "\\b(mrn|medical record number)\\s*(is|=|:|#|-)?\\s*[a-z0-9-]{5,20}\\b"), ("DOB", "\\b(dob|date of birth)\\s*(is|=|:|#|-)?\\s*([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2})\\b"),
+    ("EMAIL", "[a-z0-9.%+_-]+@[a-z0-9.-]+[.][a-z]{2,}\\b"), ("PATIENT_PHONE", "\\b(patient|guarantor)\\s*(phone|telephone|mobile|cell)[:\\s#-]*([+]?1[-.\\s]?)?[(]?[0-9]{3}[)]?[-.\\s]?[0-9]{3}[-.\\s]?[0-9]{4}\\b"),
+    ("PATIENT_ACCOUNT", "\\b(patient\\s*)?account(\\s*number|\\s*#)?[:\\s#-]*[a-z0-9-]{5,30}\\b"), ("GUARANTOR_ACCOUNT", "\\bguarantor\\s*(account\\s*)?(number|#)?[:\\s#-]*[a-z0-9-]{5,30}\\b"),
+]
+
+
 def _redact(c: str) -> str:
-    for kind, p in privacy.PATTERNS.items():
+    for kind, p in _IDENTIFIERS:
         c = f"regexp_replace({c}, '{p}', '[REDACTED:{kind}]', 'gi')"
+    for kind, p in (("JSON_PATIENT_NAME", "(patient|guarantor)_name"), ("JSON_ACCOUNT_NUMBER", "((?:patient_|guarantor_)?account_number)")):
+        c = f"regexp_replace({c}, '(\"{p.replace('(', '(?:', 1)}\"\\s*:\\s*\")[^\"]+\"', '\\1[REDACTED:{kind}]\"', 'gi')"
     return c
 
 
+def _quoted(t: str | None) -> str:
+    return "NULL" if t is None else "'" + t.replace("'", "''") + "'"
+
+
+_STOPPED = "NOT (" + " OR ".join(f"contains(lower(coalesce(text, '')), '{t}')" for t in privacy.BLOCKED_TERMS) + ")"
 _EMPTY = "('', 'n/a', 'na', 'none', 'null')"
 _T = f"""t AS (SELECT review_id, bill_doc_file AS bill_file, coalesce(nullif({_n('agent_final_response')}, ''), nullif({_n('agent_initial_response')}, '')) AS answer,
   concat_ws(' ', CASE WHEN lower({_n('patient_input')}) NOT IN {_EMPTY} THEN patient_input END, CASE WHEN lower({_n('patient_followup')}) NOT IN {_EMPTY} THEN patient_followup END) AS said FROM {_R} WHERE coalesce(nullif({_n('agent_final_response')}, ''), nullif({_n('agent_initial_response')}, '')) IS NOT NULL)"""
@@ -189,6 +227,10 @@ _WORDS = f"""(SELECT page, line, word_no, text, left_pos, length(text) AS width,
 _HEAD = "('statement', 'date:', 'pay', 'by:', 'due:', 'due')"
 SQL = {
     "redact_reviews": f"SELECT review_id, {_redact('patient_input')} AS redacted, coalesce({_redact('patient_input')} <> patient_input, false) AS has_identifiers FROM {_R}",
+    "redact_notes": f"SELECT note_id, {_STOPPED} AS allowed, CASE WHEN {_STOPPED} THEN {_redact('text')} END AS text FROM (VALUES " + ", ".join(f"({i}::BIGINT, {_quoted(t)})" for i, t in NOTES) + ") v(note_id, text)",
+    "filter_then_redact": f"SELECT review_id, {_STOPPED} AS allowed, CASE WHEN {_STOPPED} THEN {_redact('text')} END AS patient_input FROM (SELECT review_id, patient_input AS text FROM {_R})",
+    "redact_bills": f"""SELECT bill_id, CASE WHEN patient.patient_name IS NOT NULL THEN '[REDACTED:PATIENT_NAME]' END AS patient_name, CASE WHEN patient.patient_account_number IS NOT NULL THEN '[REDACTED:PATIENT_ACCOUNT_NUMBER]' END AS patient_account_number,
+  patient.service_date AS service_date, CASE WHEN guarantor.guarantor_name IS NOT NULL THEN '[REDACTED:GUARANTOR_NAME]' END AS guarantor_name, {_redact('_note')} AS note, {_redact('patient_services.mail')} AS mail FROM {BILLS}""",
     "content_filter": " UNION ALL ".join(f"SELECT doc_id, '{t}' AS term FROM documents WHERE contains(lower(text), '{t}')" for t in privacy.BLOCKED_TERMS),
     "grounding_claims": f"{_LOST} SELECT review_id, kind, value, count(*) AS n FROM lost GROUP BY ALL",
     "grounding_summary": f"{_LOST} SELECT count(*) AS answers, count(*) FILTER (a IS NULL) AS grounded, sum(coalesce(a, 0))::BIGINT AS amounts, sum(coalesce(d, 0))::BIGINT AS codes FROM t LEFT JOIN (SELECT review_id, count(*) FILTER (kind = 'amount') AS a, count(*) FILTER (kind = 'code') AS d FROM lost GROUP BY 1) USING (review_id)",

@@ -26,7 +26,42 @@ TARGETS = {
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.object_links(table(spark, d, "bills"), "bill_id")
+    """The rows of all child tables by the ordinals in their keys; bills have arrays of two levels at most."""
+    links = nested.object_links(table(spark, d, "bills").drop("loaded_at"), "bill_id")
+    below = F.coalesce(F.try_element_at("ordinals", F.lit(2)), F.lit(0).cast("bigint"))
+    return links.select("bill_id", "child_path", F.element_at("ordinals", 1).alias("child_no"), below.alias("sub_no"))
+
+
+def p2_bills(spark: SparkSession, d: str) -> DataFrame:
+    """The parent table: what of a bill stands in no array of objects."""
+    t = nested.normalize(table(spark, d, "bills").select("bill_id", "loaded_at", "bill_file", "facility", "patient", "guarantor", "insurance", "payment_detail", "total_amount_due"), "bill_id", "loaded_at")[""]
+    return t.select("row_key", "bill_id", "bill_file", "facility_name", "facility_npi", "patient_patient_name", "patient_patient_account_number", "guarantor_guarantor_name", "insurance_primary", "payment_detail_denial_reason", F.col("total_amount_due").cast("double").alias("total_amount_due"))
+
+
+def _payments(spark: SparkSession, d: str, array: str) -> DataFrame:
+    t = nested.normalize(table(spark, d, "bills").select("bill_id", "loaded_at", "payment_detail"), "bill_id", "loaded_at")[f"payment_detail.{array}"]
+    return t.select("parent_key", "row_key", F.element_at("ordinals", 1).alias("payment_no"), *[F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal" else F.col(f.name) for f in t.schema.fields if f.name not in nested.KEY_COLUMNS])
+
+
+def p2_insurance_payments(spark: SparkSession, d: str) -> DataFrame:
+    return _payments(spark, d, "insurance_payments")
+
+
+def p2_adjustments(spark: SparkSession, d: str) -> DataFrame:
+    return _payments(spark, d, "adjustments")
+
+
+def p2_payments_received(spark: SparkSession, d: str) -> DataFrame:
+    return _payments(spark, d, "payments_received")
+
+
+def p2_raw_items(spark: SparkSession, d: str) -> DataFrame:
+    """Line items of bill records delivered as JSON, by the schema that is inferred from all of them and merged."""
+    raw = spread(table(spark, d, "raw_records").where(F.col("feed").startswith("bill")).select("record_id", "payload"))
+    schema = nested.infer_merged_schema(raw, "payload")
+    records = raw.select("record_id", F.from_json("payload", schema).alias("r")).where("r is not null").select("record_id", "r.summary_of_services")
+    t = nested.normalize(records, "record_id")["summary_of_services.line_items"]
+    return t.select("parent_key", "row_key", F.element_at("ordinals", 1).alias("item_no"), "service_name", F.col("billed_amount").cast("double").alias("billed_amount"))
 
 
 def p2_line_items(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +122,7 @@ def p3_bill_items(spark: SparkSession, d: str) -> DataFrame:
     return drift.promote_children(bills, list(arrays), below, ["record_id"])
 
 
-QUERIES = {"p2_found": p2_found, "p2_line_items": p2_line_items, "p2_components": p2_components, "p3_found": p3_found, "p3_cases": p3_cases, "p3_bills": p3_bills, "p3_reviews": p3_reviews, "p3_bill_items": p3_bill_items}
+QUERIES = {"p2_found": p2_found, "p2_line_items": p2_line_items, "p2_components": p2_components, "p2_bills": p2_bills, "p2_insurance_payments": p2_insurance_payments, "p2_adjustments": p2_adjustments, "p2_payments_received": p2_payments_received, "p2_raw_items": p2_raw_items, "p3_found": p3_found, "p3_cases": p3_cases, "p3_bills": p3_bills, "p3_reviews": p3_reviews, "p3_bill_items": p3_bill_items}
 
 _BILLS = "(SELECT * FROM bills QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY loaded_at DESC NULLS LAST) = 1)"
 
@@ -110,4 +145,15 @@ SQL = {
     "p2_components": f"""SELECT bill_id::VARCHAR || '/' || item_no AS parent_key, bill_id::VARCHAR || '/' || item_no || '/' || component_no AS row_key, item_no, component_no, y.component_name, y.code, y.amount::DOUBLE AS amount FROM (
         SELECT bill_id, item_no, unnest(x.components) AS y, unnest(range(1, len(x.components) + 1)) AS component_no FROM (
           SELECT bill_id, unnest(summary_of_services.line_items) AS x, unnest(range(1, len(summary_of_services.line_items) + 1)) AS item_no FROM {_BILLS})) WHERE y IS NOT NULL""",
+    "p2_bills": f"""SELECT bill_id::VARCHAR AS row_key, bill_id, bill_file, facility.name AS facility_name, facility.npi AS facility_npi, patient.patient_name AS patient_patient_name, patient.patient_account_number AS patient_patient_account_number,
+        guarantor.guarantor_name AS guarantor_guarantor_name, insurance.primary AS insurance_primary, payment_detail.denial_reason AS payment_detail_denial_reason, total_amount_due::DOUBLE AS total_amount_due FROM {_BILLS}""",
+    **{f"p2_{array}": f"""SELECT bill_id::VARCHAR AS parent_key, bill_id::VARCHAR || '/' || payment_no AS row_key, payment_no, {columns} FROM (
+        SELECT bill_id, unnest(payment_detail.{array}) AS x, unnest(range(1, len(payment_detail.{array}) + 1)) AS payment_no FROM {_BILLS}) WHERE x IS NOT NULL""" for array, columns in {
+        "insurance_payments": "x.payer_name, x.payment_amount::DOUBLE AS payment_amount, x.payment_date, x.check_or_ref_number",
+        "adjustments": "x.description, x.amount::DOUBLE AS amount, x.adjustment_date, x.reference",
+        "payments_received": "x.description, x.total_paid::DOUBLE AS total_paid, x.last_payment_date, x.plan_ref",
+    }.items()},
+    "p2_raw_items": """SELECT record_id::VARCHAR AS parent_key, record_id::VARCHAR || '/' || item_no AS row_key, item_no, x->>'service_name' AS service_name, (x->>'billed_amount')::DOUBLE AS billed_amount FROM (
+        SELECT record_id, unnest(a) AS x, unnest(range(1, len(a) + 1)) AS item_no FROM (
+          SELECT record_id, (payload::JSON->'summary_of_services'->'line_items')::JSON[] AS a FROM raw_records WHERE feed LIKE 'bill%' AND json_valid(payload))) WHERE json_type(x) = 'OBJECT'""",
 }

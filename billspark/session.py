@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import sys
 import tempfile
@@ -64,12 +65,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the cluster names. Where none is set, a folder of our own if all runs on this machine, as in
+    tests; on a cluster that is an error, since executors on other machines would not see it."""
     now = spark.sparkContext.getCheckpointDir()
     if now:
         return now
-    folder = named or tempfile.mkdtemp(prefix="billspark-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
+        folder = tempfile.mkdtemp(prefix="billspark-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 

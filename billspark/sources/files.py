@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,15 +62,21 @@ def first_existing(wanted: DataFrame, catalog: DataFrame, name: str = "name", pr
     return wanted.join(best, name, "left")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Appends the rows whose key the Parquet table at ``path`` doesn't hold yet; returns how many. Safe to repeat."""
+    """Appends the rows whose key the Parquet table at ``path`` doesn't hold yet; returns how many. Safe to repeat.
+
+    Only the key column of the table is read. Rows are computed once, and counted as they are written. A table that
+    is there but can't be read is an error, never taken for none.
+    """
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path).select(key).distinct()
-    except Exception:  # no table yet
-        done = None
-    fresh = df.dropDuplicates([key]) if done is None else df.dropDuplicates([key]).join(done, key, "left_anti")
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").parquet(path)
-    return n
+    fresh = df.dropDuplicates([key])
+    if path_exists(spark, path):
+        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
+    written = Observation()
+    fresh.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return written.get["n"]

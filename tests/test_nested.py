@@ -29,7 +29,7 @@ def brute(rows):
 
 def test_links_equal_brute_force(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    got = [tuple(r) for r in nested.object_links(df, "id").collect()]
+    got = [(r["id"], r["child_path"], r["ordinals"][0], r["ordinals"][-1] if len(r["ordinals"]) > 1 else 0) for r in nested.object_links(df, "id").collect()]
     assert len(got) == len(set(got)) and set(got) == brute(ROWS)
 
 
@@ -73,3 +73,23 @@ def test_whole_table_has_all_objects(spark, sf):
     for r in links:
         assert rows[r["child_path"]].count() == r["count"]
     assert rows["summary_of_services.line_items"].agg(F.count_distinct("row_key")).head()[0] == rows["summary_of_services.line_items"].count()
+
+
+def test_links_of_three_levels_and_records_without_a_key(spark):
+    schema = "id long, note string, a array<struct<b:array<struct<c:array<struct<x:int>>>>>>"
+    three = [([([(1,), (2,)],), ([(3,)],)],)]
+    rows = [(1, "p", three), (None, "p", three), (None, "q", three), (None, "q", three)]
+    t = spark.createDataFrame(rows, schema)
+    links = [(r["id"], r["row_key"], tuple(r["ordinals"])) for r in nested.object_links(t, "id").where("child_path = 'a.b.c'").collect()]
+    assert len(links) == len(set(links)) == 9  # two records without a key are told apart by their content
+    assert {o for i, k, o in links if i == 1} == {(1, 1, 1), (1, 1, 2), (1, 2, 1)} and all(k == "1/" + "/".join(map(str, o)) for i, k, o in links if i == 1)
+    tables = nested.normalize(t, "id")
+    assert {r["row_key"] for r in tables["a.b.c"].collect()} == {k for _, k, _ in links}
+    assert {r["parent_key"] for r in tables["a.b.c"].collect()} <= {r["row_key"] for r in tables["a.b"].collect()}
+
+
+def test_merged_types(spark):
+    raw = spark.createDataFrame([('{"a": {"n": 1}, "l": [{"v": 2}]}',), ('{"a": {"n": "x"}, "l": [{"v": "y"}, {"w": true}]}',), ("{",), (None,)], "p string")
+    schema = nested.infer_merged_schema(raw, "p")
+    got = raw.select(F.from_json("p", schema).alias("r")).select("r.a.n", "r.l.v").collect()
+    assert [tuple(r) for r in got[:2]] == [("1", ["2"]), ("x", ["y", None])]
