@@ -86,6 +86,31 @@ def code_kind(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{5}(-[A-Z0-9]{2})?$"), "CPT").when(c.rlike(r"^[A-Z]\d{4}$"), "HCPCS").when(c.rlike(r"^[A-Z]\d{2}(\.\d{1,4})?$"), "ICD-10")
 
 
+def looks_like_id(c: Column) -> Column:
+    """Whether a captured value may be an identifier: it holds a digit. Null is none."""
+    return F.coalesce(c.rlike(r"\d"), F.lit(False))
+
+
+def cents(c: Column) -> Column:
+    """Whole cents of a decimal or of its text, halves away from zero; text that is no amount gives null."""
+    return (F.round(c.try_cast("decimal(24,6)"), 2) * 100).cast("bigint")
+
+
+def household_size(c: Column) -> Column:
+    """Persons of a household that a text states: after the word, as a count of persons, or one who lives alone."""
+    said = F.regexp_extract(c, r"(?i)\b(?:household|family)\s*(?:size|of)?\s*(?:is|:)?\s*(\d\d?)\b", 1)
+    counted = F.regexp_extract(c, r"(?i)\b(\d\d?)\s+(?:people|persons?|members?|of us)\b", 1)
+    alone = F.when(c.rlike(r"(?i)\b(?:just (?:me|myself)|(?:i )?live alone)\b"), 1)
+    return F.coalesce(said.try_cast("int"), counted.try_cast("int"), alone)
+
+
+def stated_income(c: Column) -> Column:
+    """The first number within eighty characters after a word of earning, thousands after a k; decimal(18,2)."""
+    found = r"(?i)\b(?:income|make|earn|salary)\b[^$\d]{0,80}\$?\s*(\d[\d,]*(?:\.\d\d)?)(k?)"
+    number = F.replace(F.regexp_extract(c, found, 1), F.lit(","), F.lit("")).try_cast("decimal(18,2)")
+    return F.when(F.lower(F.regexp_extract(c, found, 2)) == "k", (number * 1000).cast("decimal(18,2)")).otherwise(number)
+
+
 def pipe_list(c: Column) -> Column:
     """Entries between pipes, trimmed, blanks dropped."""
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")

@@ -25,6 +25,35 @@ def amounts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return t.select(key, F.col("pos").cast("bigint").alias("pos"), "raw", C.parse_amount(F.col("raw")).alias("amount"))
 
 
+def amounts_in_context(texts: DataFrame, key: str = "doc_id", text: str = "text", width: int = 40) -> DataFrame:
+    """(doc_id, pos, raw, amount, context) of each different amount where it stands first, with ``width`` characters of
+    text on both sides, line feeds as blanks."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    # what stands between the amounts, of which no more than the width on either side is needed; an amount has four
+    # characters or more, so that as many neighbours are enough
+    cut = texts.select(key, F.regexp_extract_all(t, F.lit(f"({C.AMOUNT})"), F.lit(1)).alias("m"), F.split(t, C.AMOUNT).alias("p")).where("size(m) > 0")
+    cut = cut.select(key, "m", F.transform("p", lambda x: F.right(x, F.lit(width))).alias("ends"), F.transform("p", lambda x: F.left(x, F.lit(width))).alias("begins"))
+    near = width // 4
+    at = lambda c, i: F.element_at(F.col(c), i)
+
+    def around(raw: Column, i: Column) -> Column:
+        n = i + 1
+        left = F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), n - near), n), lambda j: F.when(j < n, F.array(at("ends", j), at("m", j))).otherwise(F.array(at("ends", j)))))
+        right = F.flatten(F.transform(F.sequence(n + 1, F.least(F.size("begins"), n + 1 + near)), lambda j: F.when(j <= F.size("m"), F.array(at("begins", j), at("m", j))).otherwise(F.array(at("begins", j)))))
+        return F.struct(i.cast("bigint").alias("pos"), raw.alias("raw"), F.right(F.array_join(left, ""), F.lit(width)).alias("left"), F.left(F.array_join(right, ""), F.lit(width)).alias("right"))
+
+    found = cut.select(key, F.inline(F.transform("m", around)))
+    context = F.trim(F.translate(F.concat("left", "raw", "right"), "\n", " "))
+    rows = found.select(key, "pos", C.normalized(F.col("raw")).alias("raw"), C.parse_amount(F.col("raw")).alias("amount"), context.alias("context")).where("amount is not null")
+    return rows.groupBy(key, "amount").agg(F.min_by(F.struct("pos", "raw", "context"), "pos").alias("x")).select(key, "x.pos", "x.raw", "amount", "x.context")
+
+
+def with_unlabelled(found: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Codes (key, code, kind) and those of ``lines`` (key, code) that they lack, whose kind is ``unknown``; once each."""
+    more = lines.select(key, "code").where("code is not null").distinct().join(found.select(key, "code"), [key, "code"], "left_anti")
+    return found.select(key, "code", "kind").unionByName(more.withColumn("kind", F.lit("unknown")))
+
+
 def dates(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, date) of the different dates with slashes or hyphens, as MM/DD/YYYY.
 
@@ -58,6 +87,48 @@ def header(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     )
 
 
+def _spelt(label: str) -> str:
+    """The pattern of a label whose words may be misread after their first letters: ``*`` stands for any letters, words
+    in brackets may be missing; a colon or semicolon ends it. Its words stand on one line."""
+    out = ""
+    for w in label.split():
+        one = "(?:" + w.strip("[]").replace("*", r"\w*").replace("#", r"\#") + ")"
+        gap = r"[ \t]*" if out else ""
+        out += f"(?:{gap}{one})?" if w[0] == "[" else gap + one
+    return rf"(?i)\b{out}\s*[:;][ \t]*"
+
+
+# Labels of header fields and the shapes of their values.
+NAME, WORD, DATE_VALUE = r"([^\n:;]+?)", r"(\S+)", f"({DATE[1:-1]}|{MONTH_DATE[1:-1]})"
+HEADER_LABELS = {
+    "patient_name": ("pat*nt [name]", NAME), "guarantor_name": ("guar* nam*", NAME), "guarantor_number": ("guar* #|numb*", WORD), "account_number": ("acc* [#|numb*]", WORD), "service_date": ("serv* date", DATE_VALUE), "statement_date": ("stat* date", DATE_VALUE), "due_date": ("due date", DATE_VALUE), "pay_online": ("pay* on*", WORD), "pay_phone": ("pay* by phon*", r"([\d(][\d() -]+\d)"),
+}
+#: A name ends where its line does, at wide blanks, or before another label.
+_NAME_END = r"(?=\s{2,}|\s*\n|\s*$|[ \t]+(?:DOB|Address|Acc\w*|Serv\w*[ \t]*(?:Date|Type)|Status|Policy|Guar\w*|(?:Primary|Secondary)[ \t]*\w*surance)\b)"
+HOURS = r"((?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day ?[–-] ?(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day,[^,\n]*)"
+POST_BOX = r"(P\.? ?O\.? Box \d+, [A-Z][\w .'-]+, [A-Z]{2} \d{5})"
+FACILITY = r"(?mU)^[ \t]*((?:[A-ZÀ-ÖØ-Þ][\w'’-]*[ \t]+)+(?:Hospital|Center|Clinic|Campus))[ \t]*$"
+DEPARTMENT = r"(?i)(patient (?:financial )?services)"
+
+
+def statement_fields(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each text with its header fields, labels spelt as evenly as a scan leaves them.
+
+    The first match of a label counts. Numbers of accounts and guarantors hold a digit, otherwise the next label was
+    met and the field is null. A patient's name that is missing is the guarantor's. Dates are MM/DD/YYYY where numeric.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    got = {}
+    for name, (label, value) in HEADER_LABELS.items():
+        c = F.trim(_first(t, _spelt(label) + value + (_NAME_END if value == NAME else "")))
+        if name.endswith("number"):
+            c = F.when(C.looks_like_id(c), c)
+        got[name] = C.normalize_date(c) if name.endswith("date") else F.nullif(c, F.lit(""))
+    got["patient_name"] = F.coalesce(got["patient_name"], got["guarantor_name"])
+    rest = {"phone": F.coalesce(got.pop("pay_phone"), _first(t, r"(?i)\bcall (\(?\d{3}\)?[ -]?\d{3}-\d{4})")), "hours": F.trim(_first(t, HOURS)), "mail": _first(t, POST_BOX), "facility": _first(t, FACILITY), "department": _first(t, DEPARTMENT)}
+    return texts.select(key, *[c.alias(n) for n, c in (got | rest).items()])
+
+
 def totals_line(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, total_billed, insurance, adjustments, patient_balance, outstanding_balance) from lines that begin with Totals.
 

@@ -23,6 +23,26 @@ def claimed(texts: DataFrame, key: str, text: str, *carry: str) -> DataFrame:
     return texts.select(key, *carry, F.explode(F.concat(amounts, codes)).alias("x")).select(key, *carry, "x.kind", "x.value").where("value is not null")
 
 
+# Words beside which a number without a dollar sign is an amount.
+MONEY_WORDS = "paid|balance|charged?|charges|bill(?:ed)?|due|total|ow(?:e|es|ed)|cost"
+NUMERIC_DATES = r"(?<![\w/-])(\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2})(?![\w/-])"
+
+
+def stated(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, kind, value) of what a text states, once each, as evidence: amounts in cents with a dollar sign or beside a
+    word of money, numeric dates, and codes, labelled or any five digits."""
+    t = F.coalesce(F.col(text), F.lit(""))
+
+    def values(kind: str, pattern: str, group: int = 1) -> Column:
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
+        shown = (lambda x: (C.parse_amount(x) * 100).cast("bigint").cast("string")) if kind == "amount" else F.upper
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), shown(x).alias("value")))
+
+    beside = rf"(?i)\b(?:{MONEY_WORDS})\b[:\s]*\$?\s*(\d[\d,]*(?:\.\d{{2}})?)(?![\d/,.-]*[\d/])"
+    every = F.concat(values("amount", CLAIM_AMOUNT), values("amount", beside), values("date", NUMERIC_DATES), values("code", f"(?i){CLAIM_CODE}"), values("code", r"(?<![\w$.,/-])(\d{5})(?![\w/-]|[.,]\d)"))
+    return texts.select(key, F.explode(every).alias("x")).select(key, "x.kind", "x.value").where("value is not null").distinct()
+
+
 def known_of_bills(bills: DataFrame, key: str) -> DataFrame:
     """(key, kind, value): all money of a bill in cents and the codes of its lines."""
     cents = lambda c: F.struct(F.lit("amount").alias("kind"), (c * 100).cast("bigint").cast("string").alias("value"))

@@ -5,17 +5,35 @@ Turns are rows (conv, turn, role, text), ``turn`` ascending in time.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from billspark.functions import columns as C
 
-def last_known(turns: DataFrame, patterns: Mapping[str, str], role: str = "user") -> DataFrame:
-    """Per turn the value of each pattern's first group that the role stated last, this turn included; fields apart."""
+
+def last_known(turns: DataFrame, values: Mapping[str, str | Callable[[Column], Column]], role: str = "user") -> DataFrame:
+    """Per turn the value that the role stated last, this turn included; fields apart.
+
+    A value is the first group of a pattern, or what a function makes of the text; null and blank ones state nothing.
+    """
     w = Window.partitionBy("conv").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    found = {k: F.when(F.col("role") == role, F.nullif(F.regexp_extract("text", p, 1), F.lit(""))) for k, p in patterns.items()}
-    return turns.select("conv", "turn", *[F.last(c, ignorenulls=True).over(w).alias(k) for k, c in found.items()])
+    said = {k: v(F.col("text")) if callable(v) else F.nullif(F.regexp_extract("text", v, 1), F.lit("")) for k, v in values.items()}
+    return turns.select("conv", "turn", *[F.last(F.when(F.col("role") == role, c), ignorenulls=True).over(w).alias(k) for k, c in said.items()])
+
+
+def prompt_for_row(prompt: Column, bill_file: Column, uploaded: Column) -> Column:
+    """The prompt with the name that a bill was uploaded under: in place of the file's own name, within the mark of an
+    upload at its beginning, or before it. Without an upload the prompt as it is, trimmed; null counts as blank."""
+    p, own = C.normalized(prompt), C.normalized(bill_file)
+    marked = F.regexp_replace(p, r"^\[Patient uploads bill:[^\]]*\]", "")
+    return (
+        F.when(uploaded.isNull(), p)
+        .when((own != "") & F.contains(p, own), F.replace(p, own, uploaded))
+        .when(p.startswith("[Patient uploads bill:") & F.contains(p, F.lit("]")), F.concat(F.lit("[Patient uploads bill: "), uploaded, F.lit("]"), marked))
+        .otherwise(F.concat(F.lit('I uploaded "'), uploaded, F.lit('". '), p))
+    )
 
 
 def latest_mention(turns: DataFrame, pattern: str, name: str = "file") -> DataFrame:
@@ -56,6 +74,26 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
+# Labels that an answer shows in bold, and what stands for a redacted value.
+BOLD_LABELS = ["Primary Insurance", "Secondary Insurance", "Total Insurance Payments Shown", "Adjustments/Discounts", "Payment Balance", "Payment Due Date"]
+REPLACED = {
+    "PATIENT_ACCOUNT": "the patient account number shown on the bill", "JSON_ACCOUNT_NUMBER": "the account number shown on the bill", "GUARANTOR_ACCOUNT": "the guarantor account number shown on the bill", "PATIENT_NAME": "the patient name shown on the bill", "JSON_PATIENT_NAME": "the patient name shown on the bill",
+    "MRN": "a sensitive identifier", "DOB": "a date of birth", "SSN": "an SSN", "EMAIL": "a private email address", "PATIENT_PHONE": "a private phone number",
+}
+
+
+def clean_answer(c: Column) -> Column:
+    """An answer as a patient sees it: without notices about sensitive identifiers at its beginning and traces of
+    function calls, placeholders in words, labels in bold, and no more than one blank line."""
+    c = F.regexp_replace(c, r"(?i)^\s*(?:you do not need to|please do not) share sensitive identifiers such as [^.\n]*here\.\s*", "")
+    c = F.regexp_replace(c, r"(?i)<function\.[^>]*>", "")
+    c = F.regexp_replace(c, r"(?im)^[^\S\n]*(?:(?:also,\s*)?i will call the [^\n.]*function[^\n.]*|the [a-z_]+ function is [^\n.]*)\.?[^\S\n]*$", "")
+    for kind, words in REPLACED.items():
+        c = F.replace(c, F.lit(f"[REDACTED:{kind}]"), F.lit(words))
+    c = F.regexp_replace(c, rf"(?m)^([^\S\n]*(?:[-*]\s*)?)({'|'.join(BOLD_LABELS)}):", "$1**$2:**")
+    return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
 def buffer_results(messages: DataFrame, role: str = "tool") -> DataFrame:
     """(conv, first_turn, role, texts): neighbouring messages of ``role`` as one, the others as they are."""
     w = Window.partitionBy("conv").orderBy("turn")

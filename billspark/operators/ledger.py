@@ -79,6 +79,22 @@ def provenance(bills: DataFrame, checks: DataFrame, key: str = "bill_id") -> Dat
     return long.join(checks.select(key, "consistent"), key, "left").select(key, "field", "value", F.when(~F.col("consistent"), "fails_total_reconciliation").alias("warning"))
 
 
+def provenance_warnings(bills: DataFrame, checks: DataFrame, lines: DataFrame, key: str = "bill_id") -> DataFrame:
+    """(bill_id, warnings): the different warnings of a bill's totals, sorted; bills without any have an empty list.
+
+    Warned of are totals that fail the reconciliation, negative ones, ones that are missing, and bills without lines.
+    """
+    totals = F.col("summary_of_services.totals")
+    stated = [F.col("total_amount_due"), *[totals.getField(f) for f in TRACKED if f != "total_amount_due"]]
+    negative, absent = F.lit(False), F.lit(False)
+    for c in stated:
+        negative, absent = negative | F.coalesce(c < 0, F.lit(False)), absent | c.isNull()
+    has_lines = lines.select(key).distinct().withColumn("has_lines", F.lit(True))
+    t = bills.select(key, negative.alias("negative"), absent.alias("absent")).join(checks.select(key, "consistent"), key, "left").join(has_lines, key, "left")
+    told = F.array(F.when(~F.col("consistent"), "fails_total_reconciliation"), F.when(F.col("negative"), "negative_total"), F.when(F.col("absent"), "missing_total"), F.when(F.col("has_lines").isNull(), "no_line_items"))
+    return t.select(key, F.array_join(F.array_sort(F.array_distinct(F.filter(told, lambda x: x.isNotNull()))), ", ").alias("warnings"))
+
+
 def totals_audit(bills: DataFrame, lines: DataFrame, key: str = "bill_id", slack: str = "0.02") -> DataFrame:
     """Stated totals that differ from the sum of the lines by more than ``slack``."""
     pairs = {"total_billed": "sum_billed", "total_insurance_payments": "sum_insurance", "total_adjustments": "sum_adjustments", "patient_balance": "sum_balance"}

@@ -20,6 +20,21 @@ def gate(words: DataFrame, least_conf: float = 45.0, least_words: int = 30) -> D
     return g.withColumn("passes", (F.col("mean_conf") >= least_conf) & (F.col("n_words") >= least_words))
 
 
+def cluster_rows(words: DataFrame) -> DataFrame:
+    """Words (page, text, left_pos, top, width, height, conf) with ``line`` and ``word_no`` by where they stand.
+
+    From the top downwards, a word whose middle lies below all words before it begins a line, so that words of one line
+    overlap in height; within a line they count from the left. Windows over a page's words, no pairs.
+    """
+    down = Window.partitionBy("page").orderBy("top", "left_pos")
+    before = F.max(F.col("top") + F.col("height")).over(down.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.when(before.isNull() | (F.col("top") + F.col("height") / 2 > before), 1).otherwise(0)
+    t = usable(words).withColumn("_starts", starts)
+    t = t.withColumn("line", F.sum("_starts").over(down.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    across = Window.partitionBy("page", "line").orderBy("left_pos", "top")
+    return t.withColumn("word_no", (F.row_number().over(across) - 1).cast("bigint")).drop("_starts")
+
+
 def lines(words: DataFrame) -> DataFrame:
     """(page, line, text): words of each line from left to right."""
     g = usable(words).groupBy("page", "line").agg(F.array_sort(F.collect_list(F.struct("left_pos", "word_no", "text"))).alias("w"))

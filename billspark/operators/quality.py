@@ -91,6 +91,34 @@ def unknown_reference(df: DataFrame, known: DataFrame, column: str, known_column
     return _rows(lost, "warning", rule, "_id", column, F.col("ref"))
 
 
+def selected(df: DataFrame, ids: Sequence[str] = (), id_column: str = "case_id", equal: Mapping[str, str] | None = None, order: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """Rows of the given ids whose columns equal the given values in any case; what isn't given selects all.
+
+    With a limit the first rows by ``order``, a top-k and no sort of the table. A null id is met by none.
+    """
+    if ids:
+        df = df.where(C.normalized(F.col(id_column)).isin(list(ids)))
+    for c, v in (equal or {}).items():
+        if v:
+            df = df.where(F.lower(C.normalized(F.col(c))) == v.lower())
+    return df if limit is None else df.orderBy(*order).limit(limit)
+
+
+def missing(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """An error for each wanted column that the table lacks."""
+    rows = [("error", "missing_column", "", c, "") for c in missing_columns(df, wanted)]
+    return df.sparkSession.createDataFrame(rows, ", ".join(f"`{c}` string" for c in VIOLATION))
+
+
+def report(counts: DataFrame, title: str, columns: Sequence[str]) -> DataFrame:
+    """(line_no, line): a small table of counts as Markdown, its rows sorted by their columns; for results of a few rows."""
+    cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    row = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)], cells.alias("line"))))
+    head = F.array(F.lit(f"# {title}"), F.lit(""), F.lit("| " + " | ".join(columns) + " |"), F.lit("|" + "-|" * len(columns)))
+    body = F.transform("r", lambda x: F.concat(F.lit("| "), x["line"], F.lit(" |")))
+    return counts.agg(row.alias("r")).select(F.posexplode(F.concat(head, body)).alias("line_no", "line")).select((F.col("line_no") + 1).cast("bigint").alias("line_no"), "line")
+
+
 def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n) of several columns in one pass and one shuffle; null counts as blank."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in columns])).alias("x"))

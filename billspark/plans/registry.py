@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from billspark.plans import answers, extract, general, ledger, quality, search
+from billspark.plans import answers, extract, fields, general, ledger, quality, search
 
-MODULES = (ledger, extract, search, quality, answers, general)
+MODULES = (ledger, extract, search, quality, answers, general, fields)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
