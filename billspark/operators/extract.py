@@ -42,7 +42,7 @@ def amounts_in_context(texts: DataFrame, key: str = "doc_id", text: str = "text"
         right = F.flatten(F.transform(F.sequence(n + 1, F.least(F.size("begins"), n + 1 + near)), lambda j: F.when(j <= F.size("m"), F.array(at("begins", j), at("m", j))).otherwise(F.array(at("begins", j)))))
         return F.struct(i.cast("bigint").alias("pos"), raw.alias("raw"), F.right(F.array_join(left, ""), F.lit(width)).alias("left"), F.left(F.array_join(right, ""), F.lit(width)).alias("right"))
 
-    found = cut.select(key, F.inline(F.transform("m", around)))
+    found = cut.select(key, F.inline_outer(F.transform("m", around)))
     context = F.trim(F.translate(F.concat("left", "raw", "right"), "\n", " "))
     rows = found.select(key, "pos", C.normalized(F.col("raw")).alias("raw"), C.parse_amount(F.col("raw")).alias("amount"), context.alias("context")).where("amount is not null")
     return rows.groupBy(key, "amount").agg(F.min_by(F.struct("pos", "raw", "context"), "pos").alias("x")).select(key, "x.pos", "x.raw", "amount", "x.context")

@@ -14,10 +14,6 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
-def _statements(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("doc_type = 'statement'").select("doc_id", "text")
-
-
 def amount_parse(spark: SparkSession, d: str) -> DataFrame:
     return extract.amounts(_docs(spark, d)).withColumn("amount", F.col("amount").cast("double"))
 
@@ -31,16 +27,16 @@ def code_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def statement_header(spark: SparkSession, d: str) -> DataFrame:
-    return extract.header(_statements(spark, d)).withColumn("amount_due", F.col("amount_due").cast("double"))
+    return extract.header(_docs(spark, d)).withColumn("amount_due", F.col("amount_due").cast("double"))
 
 
 def statement_totals(spark: SparkSession, d: str) -> DataFrame:
-    t = extract.totals_line(_statements(spark, d))
+    t = extract.totals_line(_docs(spark, d))
     return t.select("doc_id", *[F.col(c).cast("double").alias(c) for c in t.columns if c != "doc_id"])
 
 
 def statement_lines(spark: SparkSession, d: str) -> DataFrame:
-    return extract.text_lines(_statements(spark, d)).withColumn("amount", F.col("amount").cast("double"))
+    return extract.text_lines(_docs(spark, d)).withColumn("amount", F.col("amount").cast("double"))
 
 
 def statement_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -108,11 +104,11 @@ SQL = {
   nullif(regexp_extract(text, '(?i)(?:due[ \\t]+date|pay[ \\t]+by|due)\\s*[:;]?\\s*({_D}|{_MD})', 1), '') AS due_date,
   try_cast(regexp_replace(nullif(regexp_extract(text, '(?i)(?:amount|total|balance)[ \\t]+due\\s*[:;]?\\s*(\\$?[\\d,]+(?:\\.\\d{{2}})?)', 1), ''), '[$,]', '', 'g') AS DECIMAL(18,2))::DOUBLE AS amount_due,
   nullif(regexp_extract(text, '(\\(\\d{{3}}\\) \\d{{3}}-\\d{{4}})', 1), '') AS phone, lower(nullif(regexp_extract(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}})', 1), '')) AS email
-  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_type = 'statement')""",
-    "statement_totals": f"""WITH a AS (SELECT doc_id, n, list_transform(regexp_extract_all(replace(line, '—', '$0.00'), '\\$[\\d,]+(?:\\.\\d{{2}})?'), lambda x: {_parse("x")}) AS a FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents WHERE doc_type = 'statement') WHERE regexp_matches(line, '(?i)^\\s*totals\\s')),
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""",
+    "statement_totals": f"""WITH a AS (SELECT doc_id, n, list_transform(regexp_extract_all(replace(line, '—', '$0.00'), '\\$[\\d,]+(?:\\.\\d{{2}})?'), lambda x: {_parse("x")}) AS a FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents) WHERE regexp_matches(line, '(?i)^\\s*totals\\s')),
   g AS (SELECT doc_id, arg_max(a, n) FILTER (len(a) >= 4) AS four, arg_min(a, n) FILTER (len(a) = 3) AS three FROM a GROUP BY 1)
   SELECT doc_id, coalesce(nullif(four[1], 0), three[1], four[1])::DOUBLE AS total_billed, four[2]::DOUBLE AS insurance, four[3]::DOUBLE AS adjustments, coalesce(nullif(four[4], 0), three[3], four[4])::DOUBLE AS patient_balance, coalesce(three[2], four[4])::DOUBLE AS outstanding_balance FROM g WHERE four IS NOT NULL OR three IS NOT NULL""",
-    "statement_lines": f"""WITH l AS (SELECT doc_id, n + 1 AS line_no, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents WHERE doc_type = 'statement')),
+    "statement_lines": f"""WITH l AS (SELECT doc_id, n + 1 AS line_no, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents)),
   t AS (SELECT *, regexp_extract_all(line, '\\$[\\d,]+(?:\\.\\d{{2}})?') AS a, nullif(regexp_extract(line, '({_MD}|{_D})', 1), '') AS date, nullif(regexp_extract(line, '(?:^|[\\s(])(\\d{{5}}|[A-Z]\\d{{4}})(?:[\\s).,;]|$)', 1), '') AS code FROM l WHERE length(line) >= 5),
   u AS (SELECT *, regexp_replace(regexp_replace(line, '({_MD}|{_D})', ' ', 'g'), '\\$[\\d,]+(?:\\.\\d{{2}})?', ' ', 'g') AS rest FROM t WHERE len(a) > 0)
   SELECT * FROM (SELECT doc_id, line_no, date, nullif(regexp_replace(regexp_replace(CASE WHEN code IS NOT NULL THEN replace(rest, code, ' ') ELSE rest END, '\\s{{2,}}', ' ', 'g'), '^[ \\-|:.,;]+|[ \\-|:.,;]+$', '', 'g'), '') AS description, code, {_parse("a[len(a)]")}::DOUBLE AS amount FROM u) WHERE description IS NOT NULL OR code IS NOT NULL""",
