@@ -91,6 +91,31 @@ def unknown_reference(df: DataFrame, known: DataFrame, column: str, known_column
     return _rows(lost, "warning", rule, "_id", column, F.col("ref"))
 
 
+def violations_in_one_pass(df: DataFrame, required: Sequence[str] = REQUIRED, vocabularies: Mapping[str, Sequence[str]] = VOCABULARIES, flags: Sequence[str] = FLAGS, row_id: str = "case_id", safety: str = "safety_constraint") -> DataFrame:
+    """What ``blank_required``, ``outside_vocabulary``, ``blank_safety``, ``unclear_flags`` and ``no_flag_set`` find, from one
+    scan: each row's violations are made as an array within the row. Columns that the table lacks are skipped."""
+    there = set(df.columns)
+    value = lambda c: C.normalized(F.col(c))
+
+    def found(when: Column, severity: Column | str, rule: str, column: str, detail: Column | str = "") -> Column:
+        lit = lambda x: F.lit(x) if isinstance(x, str) else x
+        return F.when(when, F.struct(lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.coalesce(F.col(row_id), F.lit("")).alias("row_id"), F.lit(column).alias("column"), lit(detail).alias("detail")))
+
+    parts = [found(value(c) == "", "error", "blank_required", c) for c in required if c in there]
+    parts += [found((value(c) != "") & ~value(c).isin(list(v)), "error", "outside_vocabulary", c, F.col(c)) for c, v in vocabularies.items() if c in there]
+    parts += [found(~F.lower(value(c)).isin("true", "false"), "error", "unclear_flag", c, F.coalesce(F.col(c), F.lit(""))) for c in flags if c in there]
+    if all(f in there for f in flags):
+        none = F.lit(True)
+        for f in flags:
+            none = none & (F.lower(value(f)) == "false")
+        parts.append(found(none, "warning", "no_flag_set", ""))
+    if safety in there:
+        text = F.concat_ws(" ", *[F.col(c) for c in ("category", "scenario", "patient_input", "patient_followup", "expected_next_steps") if c in there])
+        related = text.rlike(SAFETY_WORDS) | (F.coalesce(F.col("category"), F.lit("")) == "Safety" if "category" in there else F.lit(False))
+        parts.append(found(C.is_empty(F.col(safety)), F.when(related, "error").otherwise("warning"), "blank_safety", safety))
+    return df.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+
 def selected(df: DataFrame, ids: Sequence[str] = (), id_column: str = "case_id", equal: Mapping[str, str] | None = None, order: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """Rows of the given ids whose columns equal the given values in any case; what isn't given selects all.
 

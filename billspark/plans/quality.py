@@ -44,10 +44,7 @@ def validate_refs(spark: SparkSession, d: str) -> DataFrame:
 
 def validation_report(spark: SparkSession, d: str) -> DataFrame:
     """Violations by rule and severity."""
-    parts = [f(spark, d) for f in (validate_duplicates, validate_required, validate_vocab, validate_safety, validate_flags, validate_refs)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = quality.violations_in_one_pass(_cases(spark, d)).unionByName(validate_duplicates(spark, d)).unionByName(validate_refs(spark, d))
     return every.groupBy("severity", "rule").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("n_rows"))
 
 

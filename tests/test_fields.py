@@ -99,3 +99,11 @@ def test_unlabelled_codes(spark):
     a = spark.createDataFrame([(1, "99213", "CPT")], "doc_id long, code string, kind string")
     b = spark.createDataFrame([(1, "99213"), (1, "zz"), (1, "zz"), (2, None)], "doc_id long, code string")
     assert {tuple(r) for r in extract.with_unlabelled(a, b).collect()} == {(1, "99213", "CPT"), (1, "zz", "unknown")}
+
+
+def test_rules_in_one_pass(spark, sf):
+    c = spark.read.parquet(f"{sf}/cases.parquet")
+    one = quality.violations_in_one_pass(c)
+    parts = [quality.blank_required(c), quality.outside_vocabulary(c), quality.blank_safety(c), quality.unclear_flags(c), quality.no_flag_set(c)]
+    assert sorted(map(tuple, one.collect())) == sorted(tuple(r) for p in parts for r in p.select(*one.columns).collect())
+    assert quality.violations_in_one_pass(c.select("case_id")).count() == 0 and quality.violations_in_one_pass(c.limit(0)).count() == 0
