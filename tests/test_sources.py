@@ -32,13 +32,13 @@ def test_folder_and_index(spark, tmp_path):
     got = {r["source"]: (r["kind"], r["text"], r["_error"]) for r in files.read_texts(spark, str(docs)).collect()}
     assert got["a.txt"] == ("text", "one two three four five", None) and got["b.xlsx"][1].startswith("Plan | 12.5") and got["c.xlsx"][2].startswith("unreadable") and got["d.png"] == ("image", None, None) and got["e.md"][1] == " \n"
     done = {r["source"]: (r["n_chunks"], r["_error"]) for r in files.index_folder(spark, str(docs), index, size=3, overlap=1).collect()}
-    assert done["a.txt"] == (3, None) and done["b.xlsx"][0] == 5 and done["c.xlsx"][0] == 0 and done["c.xlsx"][1] and done["e.md"] == (0, None)
+    assert done["a.txt"] == (3, None) and done["b.xlsx"][0] == 6 and done["c.xlsx"][0] == 0 and done["c.xlsx"][1] and done["e.md"] == (0, None)
     # a file that comes again replaces its chunks, the others stay
     (docs / "a.txt").write_text("only this")
     (docs / "b.xlsx").unlink()
     files.index_folder(spark, str(docs), index, size=3, overlap=1)
     t = spark.read.parquet(index)
-    assert [r["content"] for r in t.where("source = 'a.txt'").collect()] == ["only this"] and t.where("source = 'b.xlsx'").count() == 5
+    assert [r["content"] for r in t.where("source = 'a.txt'").collect()] == ["only this"] and t.where("source = 'b.xlsx'").count() == 6
     files.index_folder(spark, str(docs), index, size=3, overlap=1, reset=True)
     assert {r["source"] for r in spark.read.parquet(index).collect()} == {"a.txt"}
 
