@@ -148,11 +148,17 @@ def schema_changes(records: DataFrame, min_overlap: float = 0.5) -> DataFrame:
     plain = fields.join(objects, ["feed", "file_no", "path"], "left")
     plain = plain.where(F.col("object_there").isNull() | (F.size(F.array_except("kinds", F.array(F.lit("array")))) > 0)).drop("object_there")
 
-    steps = everything.select("feed", "file_no").distinct().select("feed", F.col("file_no").alias("to_no"), F.lag("file_no").over(Window.partitionBy("feed").orderBy("file_no")).alias("from_no")).where("from_no is not null")
-    old = steps.join(plain.withColumnRenamed("file_no", "from_no"), ["feed", "from_no"]).select("feed", "to_no", "from_no", "path", F.col("kinds").alias("old_kinds"), F.lit(True).alias("in_old"))
-    new = steps.join(plain.withColumnRenamed("file_no", "to_no"), ["feed", "to_no"]).select("feed", "to_no", "from_no", "path", F.col("kinds").alias("new_kinds"), F.lit(True).alias("in_new"))
+    by_no = Window.partitionBy("feed").orderBy("file_no")
+    steps = everything.where("path is null").select("feed", "file_no", F.lag("file_no").over(by_no).alias("from_no"), F.lead("file_no").over(by_no).alias("next_no"))
+    # a field of a file is new to the step into the file and old to the step out of it
+    none = F.lit(None)
+    into = F.when(F.col("from_no").isNotNull(), F.struct(F.col("file_no").alias("to_no"), F.col("from_no").alias("from_no"), none.cast("array<string>").alias("old"), F.col("kinds").alias("new")))
+    out_of = F.when(F.col("next_no").isNotNull(), F.struct(F.col("next_no").alias("to_no"), F.col("file_no").alias("from_no"), F.col("kinds").alias("old"), none.cast("array<string>").alias("new")))
+    sides = plain.join(steps, ["feed", "file_no"]).select("feed", "path", F.explode(F.array(into, out_of)).alias("x")).where("x is not null")
+    both = sides.groupBy("feed", "x.to_no", "x.from_no", "path").agg(F.max("x.old").alias("old_kinds"), F.max("x.new").alias("new_kinds"))
     # what the targets rescue are few rows, and four later plans read them
-    diff = materialize(old.join(new, ["feed", "to_no", "from_no", "path"], "full").where("in_new is null or in_old is null or old_kinds != new_kinds"), "diff")
+    changed = both.where("old_kinds is null or new_kinds is null or old_kinds != new_kinds")
+    diff = materialize(changed.select("*", F.when(F.col("old_kinds").isNotNull(), True).alias("in_old"), F.when(F.col("new_kinds").isNotNull(), True).alias("in_new")), "diff")
     gone = diff.where("in_new is null").select("feed", "to_no", "from_no", F.col("path").alias("old_path"))
     come = diff.where("in_old is null").select("feed", "to_no", "from_no", F.col("path").alias("new_path"))
     retyped = diff.where("in_old and in_new and size(old_kinds) > 0 and size(new_kinds) > 0 and old_kinds != new_kinds")
