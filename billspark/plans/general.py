@@ -106,6 +106,12 @@ def p3_reviews(spark: SparkSession, d: str) -> DataFrame:
     return _consistent(spark, d, "review")
 
 
+def p3_case_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of the case records' consistent table whose names stay, whatever types they came as."""
+    t = _consistent(spark, d, "case")
+    return t.select("record_id", "scenario", "payer", "household_size", F.col("amount_owed_usd").cast("double").alias("amount_owed_usd"), F.col("_valid").alias("valid"))
+
+
 #: The child table of the line items of bill records: a column's type and its path below the array of this path.
 LINE_ITEMS = "summary_of_services.line_items"
 LINE_ITEM_FIELDS = {"service_name": "string", "code_type": "string", "code": "string", "quantity": "int", "unit": "string", "billed_amount": "decimal(18,2)", "insurance_payments": "decimal(18,2)", "adjustments": "decimal(18,2)", "patient_balance": "decimal(18,2)"}
@@ -122,11 +128,17 @@ def p3_bill_items(spark: SparkSession, d: str) -> DataFrame:
     return drift.promote_children(bills, list(arrays), below, ["record_id"])
 
 
-QUERIES = {"p2_found": p2_found, "p2_line_items": p2_line_items, "p2_components": p2_components, "p2_bills": p2_bills, "p2_insurance_payments": p2_insurance_payments, "p2_adjustments": p2_adjustments, "p2_payments_received": p2_payments_received, "p2_raw_items": p2_raw_items, "p3_found": p3_found, "p3_cases": p3_cases, "p3_bills": p3_bills, "p3_reviews": p3_reviews, "p3_bill_items": p3_bill_items}
+QUERIES = {"p2_found": p2_found, "p2_line_items": p2_line_items, "p2_components": p2_components, "p2_bills": p2_bills, "p2_insurance_payments": p2_insurance_payments, "p2_adjustments": p2_adjustments, "p2_payments_received": p2_payments_received, "p2_raw_items": p2_raw_items, "p3_found": p3_found, "p3_cases": p3_cases, "p3_bills": p3_bills, "p3_reviews": p3_reviews, "p3_bill_items": p3_bill_items, "p3_case_columns": p3_case_columns}
 
 _BILLS = "(SELECT * FROM bills QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY loaded_at DESC NULLS LAST) = 1)"
 
 
+def _taken(kind: str, *paths: str) -> str:
+    """The first of the paths whose value is a scalar that can be cast."""
+    one = lambda p: f"CASE WHEN json_type(j, '$.{p}') NOT IN ('OBJECT', 'ARRAY') THEN try_cast(json_extract_string(j, '$.{p}') AS {kind}) END"
+    return f"coalesce({', '.join(map(one, paths))})"
+
+
 def _array(path: str, array: str) -> str:
     return f"""SELECT bill_id, '{path}' AS child_path, child_no, 0::BIGINT AS sub_no FROM (
       SELECT bill_id, unnest({array}) AS x, unnest(range(1, len({array}) + 1)) AS child_no FROM {_BILLS}) WHERE x IS NOT NULL"""
@@ -156,4 +168,7 @@ SQL = {
     "p2_raw_items": """SELECT record_id::VARCHAR AS parent_key, record_id::VARCHAR || '/' || item_no AS row_key, item_no, x->>'service_name' AS service_name, (x->>'billed_amount')::DOUBLE AS billed_amount FROM (
         SELECT record_id, unnest(a) AS x, unnest(range(1, len(a) + 1)) AS item_no FROM (
           SELECT record_id, (payload::JSON->'summary_of_services'->'line_items')::JSON[] AS a FROM raw_records WHERE feed LIKE 'bill%' AND json_valid(payload))) WHERE json_type(x) = 'OBJECT'""",
+    "p3_case_columns": f"""SELECT record_id, {_taken("VARCHAR", "scenario")} AS scenario, {_taken("VARCHAR", "payer")} AS payer, {_taken("INTEGER", "household_size")} AS household_size,
+        {_taken("DECIMAL(18,2)", "amount_owed_usd")}::DOUBLE AS amount_owed_usd, j IS NOT NULL AS valid
+        FROM (SELECT record_id, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN payload::JSON END AS j FROM raw_records WHERE feed LIKE 'case%')""",
 }
