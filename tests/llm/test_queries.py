@@ -32,3 +32,26 @@ def test_found_values(spark, tmp_path, sf):
     whole = spark.read.parquet(f"{sf}/reviews.parquet")
     for name, column, values in (("p1_found", "field_name", {"agent_final_response", "agent_followup_response"}), ("p4_found", "pair_name", {"initial", "followup"}), ("p4_found", "defect", {"empty", "truncated", "refusal", "copy", "other_language"})):
         assert {r[0] for r in q.QUERIES[name](spark, sf).select(column).distinct().collect()} <= values and whole.count()
+
+
+def test_reports_agree_with_what_is_found(spark, sf):
+    from pyspark.sql import functions as F
+
+    run = lambda name: q.QUERIES[name](spark, sf)
+    assert run("p1_rates").agg(F.sum("cut")).head()[0] == run("p1_found").count()
+    assert run("p4_defects").agg(F.sum("pairs")).head()[0] == run("p4_found").count()
+    assert run("p7_items").agg(F.sum("documents")).head()[0] == run("p7_found").count()
+    assert run("p8_classes").count() >= 0 and run("p8_classes").where("texts < 2").count() == 0
+
+
+def test_masked_texts_hold_nothing_more(spark, sf):
+    """Every text with a find has its placeholder, no other text changes, and masked texts hold no e-mail address."""
+    masked = {r["review_id"]: r for r in q.p5_masked(spark, sf).collect()}
+    kinds = {}
+    for r in q.p5_found(spark, sf).collect():
+        kinds.setdefault((r["review_id"], r["field_name"]), set()).add(f"[{r['pii_kind'].upper()}]")
+    texts = {(r["review_id"], c): r[c] for r in spark.read.parquet(f"{sf}/reviews.parquet").collect() for c in q.PII_FIELDS}
+    for (i, c), t in texts.items():
+        found = kinds.get((i, c), set())
+        assert (masked[i][c] == t) == (not found) and all(k in masked[i][c] for k in found)
+        assert "email" not in {k for _, _, k in q.pii.Finder(q.pii.Facilities()).places(masked[i][c], {}.get)} or "-care." in masked[i][c]
