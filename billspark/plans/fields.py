@@ -222,7 +222,7 @@ SQL = {
     "clean_answers": f"SELECT review_id, regexp_replace(regexp_replace(coalesce(agent_initial_response, '') || chr(10) || chr(10) || chr(10) || chr(10) || chr(10) || '- **Payment Due Date:** soon, a sensitive identifier', '\\n{{3,}}', chr(10) || chr(10), 'g'), '^ +| +$', '', 'g') AS cleaned FROM {_R}",
     "ocr_rows": f"SELECT page, (dense_rank() OVER (PARTITION BY page ORDER BY line) - 1)::BIGINT AS line, text FROM (SELECT page, line, string_agg(text, ' ' ORDER BY left_pos) AS text FROM {answers._WORDS} GROUP BY 1, 2)",
     "variant_outcomes": f"""WITH r AS (SELECT modality AS variant, CASE WHEN regexp_matches({_N('groundedness_score_0_1')}, {quality_plans._NUM}) THEN try_cast({_N('groundedness_score_0_1')} AS DOUBLE) END AS recall, lower({_N('groundedness_score_0_1')}) IN ('', 'n/a', 'na', 'none', 'null') AS blank FROM {_R})
-  SELECT variant, count(*) FILTER (recall IS NOT NULL) AS n_ok, count(*) FILTER (recall IS NULL AND NOT blank) AS n_rejected, count(*) FILTER (recall IS NULL AND blank) AS n_error, round(avg(recall::DECIMAL(9,4))::DOUBLE, 4) AS recall FROM r WHERE variant IN ('pdf', 'photo', 'text') GROUP BY 1 UNION ALL SELECT 'fax', 0, 0, 0, NULL""",
+  SELECT v AS variant, count(recall) AS n_ok, count(*) FILTER (variant IS NOT NULL AND recall IS NULL AND NOT blank) AS n_rejected, count(*) FILTER (variant IS NOT NULL AND recall IS NULL AND blank) AS n_error, round(avg(recall::DECIMAL(9,4))::DOUBLE, 4) AS recall FROM (VALUES ('pdf'), ('photo'), ('text'), ('fax')) l(v) LEFT JOIN r ON variant = v GROUP BY 1""",
     "missing_columns": "SELECT 'error' AS severity, 'missing_column' AS rule, '' AS row_id, c AS \"column\", '' AS detail FROM (VALUES ('no_such_column'), ('loaded_at')) v(c)",
     "report_markdown": f"""WITH r AS ({quality_plans.SQL['validation_report']}), b AS (SELECT row_number() OVER (ORDER BY severity, rule, n, n_rows) + 4 AS line_no, '| ' || severity || ' | ' || rule || ' | ' || n || ' | ' || n_rows || ' |' AS line FROM r)
   SELECT * FROM b UNION ALL SELECT * FROM (VALUES (1::BIGINT, '# Validation'), (2, ''), (3, '| severity | rule | n | n_rows |'), (4, '|-|-|-|-|')) v(line_no, line)""",
