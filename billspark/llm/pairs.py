@@ -188,16 +188,18 @@ def language_counts(text: str) -> dict[str, int]:
 def prompt_language(text: str) -> str | None:
     """The language asked in: another than English if some sentence is in it, whatever is added in English."""
     best: tuple[int, str] | None = None
+    english = False
     for s in _SENTENCES.split(text):
         counts = language_counts(s)
         if counts:
+            english = english or counts.get("en", 0) >= 1
             lang = max(counts, key=lambda k: (counts[k], k == "en", k))
             if lang != "en" and counts[lang] >= 2 and counts[lang] >= 2 * counts.get("en", 0) and (best is None or counts[lang] > best[0]):
                 best = (counts[lang], lang)
     if best:
         return best[1]
-    counts = language_counts(text)
-    return "en" if counts.get("en", 0) >= 1 else None
+    # beside another script, English words count only where they are not the lesser part
+    return "en" if english and (text.isascii() or language_counts(text).get("en", 0) >= 1) else None
 
 
 def is_foreign(prompt: str, answer: str) -> bool:

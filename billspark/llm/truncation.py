@@ -69,13 +69,14 @@ def is_placeholder(c: Column) -> Column:
     return F.when(F.length(F.translate(c, _INVISIBLE + _BLANKS, "")) > 64, False).otherwise(F.lower(clean(c)).isin(PLACEHOLDERS))
 
 
+_HIDDEN = re.compile(f"[{_INVISIBLE}]")
 _HIDE = str.maketrans(dict.fromkeys(_INVISIBLE, ""))
 
 
 def _cleaned(text: str | None) -> str:
     if not text:
         return ""
-    return (text if text.isascii() else text.translate(_HIDE)).strip()
+    return (text.translate(_HIDE) if not text.isascii() and _HIDDEN.search(text) else text).strip()
 
 
 def _stops(t: str) -> bool:
