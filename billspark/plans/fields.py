@@ -36,14 +36,14 @@ def _printed(spark: SparkSession, d: str) -> DataFrame:
     shown = F.concat_ws(
         "\n",
         F.coalesce(F.trim("facility.name"), F.lit("")),
-        F.concat(line("Patient Name: ", "Pationt; ", "patient.patient_name"), F.lit(" DOB: 1/1/1970")),
-        F.concat(line("Guarantor Name: ", "Guarentor Namo; ", "guarantor.guarantor_name"), F.lit("   Guarantor #: GU-77")),
+        F.concat(line("Patient Name: ", "Patlent; ", "patient.patient_name"), F.lit(" DOB: 1/1/1970")),
+        F.concat(line("Guarantor Name: ", "Guarantar Namo; ", "guarantor.guarantor_name"), F.lit("   Guarantor #: GU-77")),
         line("Account Number: ", "Acct #: ", "patient.patient_account_number"),
-        F.concat(line("Service Date: ", "Serve Date; ", "patient.service_date"), F.lit(" Service Type: Outpatient")),
+        F.concat(line("Service Date: ", "Servlce Date; ", "patient.service_date"), F.lit(" Service Type: Outpatient")),
         line("Statement Date: ", "Statment Date; ", "statement_date"),
         line("Due Date: ", "Due  Date; ", "due_date"),
-        line("Pay Online: ", "Pay Onlne; ", "patient_services.online"),
-        line("Pay by Phone: ", "Pay by Phonne; ", "patient_services.phone"),
+        line("Pay Online: ", "Pay Onllne; ", "patient_services.online"),
+        line("Pay by Phone: ", "Pay by Phoney; ", "patient_services.phone"),
         F.lit("Patient Financial Services"),
     )
     return b.select("bill_id", shown.alias("text"))
