@@ -36,7 +36,7 @@ def tfidf_documents(spark: SparkSession, d: str) -> DataFrame:
     """The best chunks for the text of every document whose id is divisible by 100."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").cast("bigint").alias("query_id"), F.col("text").alias("query"))
-    return search.tfidf_topk(_chunks(spark, d), asked, broadcast=False).drop("snippet")
+    return search.tfidf_topk(_chunks(spark, d), asked, broadcast=False, snippets=False)
 
 
 QUERIES = {f.__name__: f for f in (chunk_documents, doc_frequency, term_frequency, tfidf_topk, tfidf_documents)}

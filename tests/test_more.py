@@ -79,3 +79,45 @@ def test_every_hundredth_document_is_a_query(spark, sf):
     got = {tuple(r) for r in tfidf_documents(spark, sf).collect()}
     assert {r[0] for r in got} == {r["query_id"] for r in asked.where("text rlike '[A-Za-z0-9]'").collect()}
     assert got == {tuple(r) for r in search.tfidf_topk(search.chunks(docs), asked).drop("snippet").collect()}
+
+
+def test_queries_of_any_number_are_not_joined_by_term(spark, sf):
+    """Every query shares terms with every chunk, so that rows of (query, chunk, term) would grow with the square."""
+    from billspark.plans.search import tfidf_documents
+
+    plan = tfidf_documents(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan, plan
+
+
+@pytest.mark.parametrize("sizes", [{}, {"head": 4, "slab": 60, "rows": 9, "columns": 3, "light": 0.5, "block_queries": 7}, {"head": 1, "rows": 16, "light": 0, "block_queries": 20}])
+def test_best_of_blocks(spark, sizes):
+    """The same as all scores, with equal texts, texts without terms, keys of text and terms that one query has alone."""
+    import random
+
+    from billspark.functions import columns as C
+    from billspark.operators import search
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda: " ".join(words[min(39, int(r.expovariate(0.12)))] for _ in range(r.randint(1, 30)))
+    texts = [text() for _ in range(150)]
+    docs = [(f"d{i:03}", t) for i, t in enumerate(texts + texts[:50] * 2 + ["é", "", None, "solo", "solo w0"])]
+    chunked = search.chunks(spark.createDataFrame(docs, "source string, text string").repartition(5), key="source", size=12, overlap=3)
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate([*texts[::5], "solo", "absent", "", None, "w0 w0 w0", "w39"])], "query_id long, query string")
+    terms = asked.select("query_id", F.explode(C.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
+    rows = lambda df: sorted((q, -s, d, c) for q, d, c, s in df.collect())
+    best = {}
+    for x in rows(search._joined(chunked, terms, "source")):
+        best.setdefault(x[0], []).append(x)
+    got = {}
+    for x in rows(search.best_of_blocks(chunked, terms, 4, "source", **sizes)):
+        got.setdefault(x[0], []).append(x)
+    assert {q: x[:4] for q, x in got.items()} == {q: x[:4] for q, x in best.items()} and len(best) == 33
+
+
+def test_round4():
+    import numpy as np
+
+    from billspark.operators.search import _round4
+
+    assert _round4(np.array([0.03125, 0.00005, 2.00015, 1.00004999, 235.61846924, 0.0])).tolist() == [0.0313, 0.0001, 2.0002, 1.0, 235.6185, 0.0]
